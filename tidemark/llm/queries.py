@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, simhash, topk
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
+    "op5_topk": topk.op5_topk,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op5_topk": topk.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
