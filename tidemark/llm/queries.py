@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, secrets, simhash, topk
+from tidemark.llm import bpe, mixing, prefixhash, secrets, simhash, topk
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op5_topk": topk.op5_topk,
+    "op8_fingerprints": prefixhash.op8_fingerprints,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
