@@ -16,7 +16,7 @@ from tidemark.llm.common import table
 PRIME = (1 << 31) - 1
 BASES = (911_382_323, 1_572_869_297)
 #: A fingerprint keeps the SKETCH smallest hashes among all spans of SPAN code points.
-SPAN, SKETCH = 24, 64
+SPAN, SKETCH = 8, 64
 #: Documents of one ordered bucket, on average.
 BUCKET_ROWS = 2048
 MOST_BUCKETS = 4096

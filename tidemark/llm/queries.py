@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, prefixhash, secrets, simhash, topk
+from tidemark.llm import bpe, chat, mixing, prefixhash, secrets, simhash, topk
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
+    "op4_chat": chat.op4_chat,
     "op5_topk": topk.op5_topk,
     "op8_fingerprints": prefixhash.op8_fingerprints,
     "op9_secrets": secrets.op9_secrets,
@@ -15,6 +16,7 @@ QUERIES = {
 
 #: Operators that aren't here can't be expressed in SQL; their tests hold them against brute force.
 ORACLES = {
+    "op4_chat": chat.OP4_SQL,
     "op5_topk": topk.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
