@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, mixing, prefixhash, secrets, simhash, topk
+from tidemark.llm import bpe, chat, mixing, prefixhash, secrets, simhash, topk, toxicity
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op4_chat": chat.op4_chat,
     "op5_topk": topk.op5_topk,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_fingerprints": prefixhash.op8_fingerprints,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
