@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, mixing, prefixhash, secrets, simhash, topk, toxicity
+from tidemark.llm import bpe, chat, lines, mixing, prefixhash, secrets, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op4_chat": chat.op4_chat,
