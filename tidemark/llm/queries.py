@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, lines, mixing, prefixhash, secrets, simhash, topk, toxicity
+from tidemark.llm import bpe, chat, lines, mixing, prefixhash, secrets, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_chat": chat.op4_chat,
     "op5_topk": topk.op5_topk,
+    "op6_substrings": substrings.op6_substrings,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_fingerprints": prefixhash.op8_fingerprints,
     "op9_secrets": secrets.op9_secrets,
