@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -19,7 +20,7 @@ from tidemark.llm.common import table
 #: Where the vocabulary is; a parameter of every function that reads it.
 TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
 #: Word pieces and pair verdicts that one Python worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Stands for the word end within token texts while they are matched; no byte maps to it.
 _END = "\n"
 
@@ -56,6 +57,7 @@ def tables(path: str) -> dict:
         split = split.replace(r"[^\s\p{L}\p{N}]", rf"[^\s[[\p{{L}}\p{{N}}]--[{newer}]]]")
         split = split.replace(r"[\p{L}]", rf"[\p{{L}}--[{newer}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{newer}]]")
     return {
+        "name": hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest(),
         "vocab": model["vocab"],
         "merges": merges,
         "suffix": model["end_of_word_suffix"] or "",
@@ -88,13 +90,15 @@ class Encoder:
             if c not in self.parts:
                 self.rank[c], self.parts[c] = rank, (a, b)
         self.shorter = {i: self._prefix(t) for t, i in self.ids.items()}
-        self.letters = _byte_letters()
+        self.letters = {b: letter for b, letter in enumerate(_byte_letters())}
         self.special = spec["special"]
         self.special_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.split = regex.compile(spec["split"], regex.V1)
         self.spaces = regex.compile(r"\s+")
+        self.edges: tuple[dict, dict] = {}, {}
         self.words: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _prefix(self, text: str) -> int | None:
         """The longest token that is a proper prefix of a token."""
@@ -102,13 +106,17 @@ class Encoder:
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens at one edge while ``token`` forms, outermost first, each with the rank of the merge that uses it up."""
-        out, until = [], float("inf")
-        while True:
-            out.append((token, until))
-            if token not in self.parts:
-                return out
-            until = self.rank[token]
-            token = self.parts[token][side]
+        out = self.edges[side].get(token)
+        if out is None:
+            first, out, until = token, [], float("inf")
+            while True:
+                out.append((token, until))
+                if token not in self.parts:
+                    break
+                until = self.rank[token]
+                token = self.parts[token][side]
+            self.edges[side][first] = out
+        return out
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging keeps two neighbouring tokens apart.
@@ -117,7 +125,7 @@ class Encoder:
         They stay apart unless a pair of edge tokens that exist at one time has a merge across the seam whose turn comes
         before either is used up; at equal rank the leftmost goes first.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             a, b = self._edge(left, 1), self._edge(right, 0)
@@ -141,56 +149,96 @@ class Encoder:
 
     def piece(self, text: str) -> list[int]:
         """The ids of one word piece, given as byte letters closed by the word end."""
-        longest = [-1] * len(text)
+        n = len(text)
+        longest: list[int | None] = [None] * n
         for end, (token, length) in self.automaton.iter(text):
             longest[end - length + 1] = token  # later ends are longer matches
-        dead = bytearray(len(text) + 1)
+        lengths, shorter, pairs = self.lengths, self.shorter, self.pairs
+        dead = bytearray(n + 1)
         out: list[int] = []
-        at = 0
-        token = longest[0]
-        while at < len(text):
-            while token is not None and token >= 0:
-                end = at + self.lengths[token]
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter[token]
-            if token is not None and token >= 0:
+        at, token, last = 0, longest[0], None
+        while at < n:
+            while token is not None:
+                end = at + lengths[token]
+                if not dead[end]:
+                    if last is None:
+                        break
+                    fits = pairs.get(last << 32 | token)
+                    if fits or (fits is None and self.compatible(last, token)):
+                        break
+                token = shorter[token]
+            if token is not None:
                 out.append(token)
-                at = end
-                token = longest[at] if at < len(text) else None
+                last, at = token, end
+                token = longest[at] if at < n else None
             elif out:
                 dead[at] = 1
                 token = out.pop()
-                at -= self.lengths[token]
+                last = out[-1] if out else None
+                at -= lengths[token]
             else:
                 raise ValueError(f"no tokens for {text!r}")
         return out
 
-    def plain(self, text: str, out: list[int]) -> None:
-        """Normalise a text without special tokens, split it and append its ids."""
-        text = unicodedata.normalize("NFC", text)
-        text = self.spaces.sub(" ", text).replace("Σ", "σ").lower()
-        words = self.words
-        for word in self.split.findall(text):
-            ids = words.get(word)
-            if ids is None:
-                ids = self.piece("".join([self.letters[b] for b in word.encode()]) + _END)
-                if len(words) >= REMEMBERED:
-                    words.clear()
-                if len(word) < 64:
-                    words[word] = ids
-            out += ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _word(self, word: str) -> list[int]:
+        found = self.words.get(word)
+        if found is None:
+            found = self.piece(word.encode().decode("latin-1").translate(self.letters) + _END)
+            if len(word) < 64:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = found
+        return found
+
+    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+        """The ids of a text without special tokens and without a blank at a place that counts: as 32-bit integers and as decimals."""
+        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        text = text.lower()
+        if text.isalpha():
+            ids = self._word(text)
+        elif text[:-1].isalpha() and text[-1:] in ".,;:!?":
+            ids = self._word(text[:-1]) + self._word(text[-1])
+        else:
+            ids = [i for word in self.split.findall(self.spaces.sub(" ", text)) for i in self._word(word)]
+        return array("i", ids).tobytes(), " ".join(map(str, ids))
+
+    def plain(self, text: str, out: list[tuple[bytes, str]]) -> None:
+        """Append the ids of a text without special tokens. Word pieces never cross a blank, so what stands between blanks
+        is encoded by itself, and remembered."""
+        known = self.known
+        for chunk in text.replace("\n", " ").split(" "):
+            found = known.get(chunk)
+            if found is None:
+                found = self._chunk(chunk)
+                if len(chunk) < 64:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[chunk] = found
+            out.append(found)
+
+    def chunks(self, text: str) -> list[tuple[bytes, str]]:
+        out: list[tuple[bytes, str]] = []
+        if not any(t in text for t in self.special):
+            self.plain(text, out)
+            return out
         at = 0
         for match in self.special_pattern.finditer(text):
             self.plain(text[at : match.start()], out)
-            out.append(self.special[match[0]])
+            i = self.special[match[0]]
+            out.append((array("i", [i]).tobytes(), str(i)))
             at = match.end()
-        self.plain(text[at:] if at else text, out)
+        self.plain(text[at:], out)
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([x for x, _ in self.chunks(text)]), np.int32)
+
+    def digest(self, text: str) -> tuple[np.ndarray, str]:
+        """The ids, and the SHA-256 of their decimals joined by spaces."""
+        found = self.chunks(text)
+        decimals = " ".join([d for _, d in found if d])
+        return np.frombuffer(b"".join([x for x, _ in found]), np.int32), hashlib.sha256(decimals.encode()).hexdigest()
+
 
 class Decoder:
     """All token texts in one byte string, with the offset at which each begins; ids copy their slices out of it."""
@@ -205,13 +253,24 @@ class Decoder:
         """The token texts joined by one space, in UTF-8; part by part, for very long texts."""
         parts = []
         for at in range(0, len(ids), 65536):
-            some = ids[at : at + 65536]
+            some = ids[at : at + 65536].astype(np.int64)
             starts, sizes = self.offsets[some], self.offsets[some + 1] - self.offsets[some]
             ends = np.cumsum(sizes)
             parts.append(self.bytes[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)].tobytes())
         return b"".join(parts)[:-1]
 
 
+#: The encoder and decoder of a file, by its hash, kept between the tasks of one Python worker.
+_MADE: dict[str, tuple[Encoder, Decoder]] = {}
+
+
+def _made(spec: dict) -> tuple[Encoder, Decoder]:
+    if spec["name"] not in _MADE:
+        _MADE.clear()
+        _MADE[spec["name"]] = Encoder(spec), Decoder(spec)
+    return _MADE[spec["name"]]
+
+
 def encode(docs: DataFrame, path: str = TOKENIZER, text: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with the column ``to``: the token ids (array of int) of each whole text.
 
@@ -222,9 +281,9 @@ def encode(docs: DataFrame, path: str = TOKENIZER, text: str = "text", to: str =
     shared = docs.sparkSession.sparkContext.broadcast(tables(path))
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder, _ = _made(shared.value)
         for batch in batches:
-            found = [np.array(encoder.encode(t), np.int32) if (t := x.as_py()) else np.empty(0, np.int32) for x in batch.column(text)]
+            found = [encoder.encode(x.as_py() or "") for x in batch.column(text)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, to])
@@ -241,7 +300,7 @@ def decode(docs: DataFrame, path: str = TOKENIZER, ids: str = "ids", to: str = "
     shared = docs.sparkSession.sparkContext.broadcast(tables(path))
 
     def run(batches):
-        decoder = Decoder(shared.value)
+        _, decoder = _made(shared.value)
         for batch in batches:
             column = batch.column(ids)
             found = [decoder.decode(x.values.to_numpy()) if x.is_valid and len(x) else b"" for x in column]
@@ -260,16 +319,16 @@ def round_trip(docs: DataFrame, path: str = TOKENIZER, chunk: int = 512) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(tables(path))
 
     def run(batches):
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = _made(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, chunk):
                 batch = whole.slice(at, chunk)
                 counts, ids_hash, text_hash = [], [], []
                 for x in batch.column(1):
-                    ids = encoder.encode(x.as_py() or "")
+                    ids, digest = encoder.digest(x.as_py() or "")
                     counts.append(len(ids))
-                    ids_hash.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(decoder.decode(np.array(ids, np.int64)) if ids else b"").hexdigest())
+                    ids_hash.append(digest)
+                    text_hash.append(hashlib.sha256(decoder.decode(ids) if len(ids) else b"").hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
