@@ -337,5 +337,30 @@ def round_trip(docs: DataFrame, path: str = TOKENIZER, chunk: int = 512) -> Data
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, keep: list[str], path: str = TOKENIZER, chunk: int = 512) -> DataFrame:
+    """The columns ``keep`` of ``docs``, and n_tokens, ids (array of int) and decoded_sha256 of each whole text.
+
+    One pass over Arrow batches in chunks of bounded row count; null and empty texts have no tokens.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(tables(path))
+
+    def run(batches):
+        encoder, decoder = _made(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, chunk):
+                batch = whole.slice(at, chunk)
+                found = [encoder.encode(x.as_py() or "") for x in batch.column("text")]
+                hashes = [hashlib.sha256(decoder.decode(x) if len(x) else b"").hexdigest() for x in found]
+                sizes = np.array([len(x) for x in found], np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in keep), pa.array(sizes), ids, pa.array(hashes)], [*keep, "n_tokens", "ids", "decoded_sha256"]
+                )
+
+    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("array<int>").alias("ids"), F.lit("").alias("decoded_sha256")).schema
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))

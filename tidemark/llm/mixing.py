@@ -82,6 +82,16 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """``docs`` with all its columns, each row repeated as often as ``mix`` takes it, or left out where that is never.
+
+    Rows that share a doc_id (or have none) all take the most copies among them.
+    """
+    copies = mix(docs, seed).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

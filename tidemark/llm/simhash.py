@@ -47,12 +47,12 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint of every document as a signed 64-bit integer."""
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
+            values = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -141,7 +141,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     return cells.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell", "fp").mapInArrow(_compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): each document's fingerprint and the smallest doc_id it is linked to, over any number of links.
 
     Equal fingerprints link, and so do those DISTANCE bits apart or less. Null and empty texts have
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows stay repeated; a null doc_id is never the smallest unless its group has no other; an
     empty table gives an empty one.
     """
-    fps = stored(fingerprints(docs), "fingerprints")
+    fps = stored(fingerprints(docs, width), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
     roots = components(near_links(nodes.select("fp")), "a", "b")
     grouped = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -158,6 +158,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, F.col("fp") == F.col("node")).select("doc_id", "fp", "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``docs`` with all its columns, of each group of ``near_duplicates`` only the document with the smallest doc_id.
+
+    Rows that share that doc_id all stay; a group without any doc_id stays.
+    """
+    groups = near_duplicates(docs, width)
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
