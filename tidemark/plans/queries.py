@@ -11,6 +11,7 @@ from tidemark.operators import align as J
 from tidemark.operators import ingest as I
 from tidemark.operators import scans as C
 from tidemark.operators import windows as W
+from tidemark.plans import replay, traces
 from tidemark.plans.adapters import SIGNALS, signals, table
 
 QUERIES: dict = {}
@@ -569,3 +570,27 @@ def report_pacing(spark, sf_dir):
 def segment_rotation(spark, sf_dir):
     df = signals(spark, sf_dir).withColumn("boot", F.floor(F.col("seq") / 5000)).withColumn("size", (F.col("value") * 100).cast("long"))
     return C.rotation(df, V, T, "boot", "size", "t", 50_000, 240 * HOUR).select("vehicle", "seq", "segment")
+
+
+# --- Replay of made flights -----------------------------------------------------------------------------------------
+
+
+@query()
+def replay_timeline(spark, sf_dir):
+    return replay.replay(traces.fault_flights(spark))
+
+
+@query()
+def replay_lanes(spark, sf_dir):
+    found = replay.lane_findings(traces.fault_flights(spark))
+    return found.groupBy("mission_id", "lane", "availability", "severity", "detail_code").agg(F.count("*").alias("ticks"), F.min("tick").alias("first_tick"))
+
+
+@query()
+def replay_hash(spark, sf_dir):
+    return replay.timeline_hash(replay.replay(traces.flights(spark, 2, 30)))
+
+
+@query()
+def replay_audit(spark, sf_dir):
+    return A.audit(replay.replay(traces.flights(spark, 4, 45)), ["mission_id"])
