@@ -15,6 +15,7 @@ from tidemark.llm.common import table
 #: Modulus 2^31 - 1 and the two bases of a hash pair.
 PRIME = (1 << 31) - 1
 BASES = (911_382_323, 1_572_869_297)
+_MASK, _SHIFT = np.uint64(PRIME), np.uint64(31)
 #: A fingerprint keeps the SKETCH smallest hashes among all spans of SPAN code points.
 SPAN, SKETCH = 8, 64
 #: Documents of one ordered bucket, on average.
@@ -22,11 +23,15 @@ BUCKET_ROWS = 2048
 MOST_BUCKETS = 4096
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Something equal to x modulo PRIME and below 2^34, for any 64-bit x."""
+    return (x & _MASK) + (x >> _SHIFT)
+
+
 def _reduce(x: np.ndarray) -> np.ndarray:
-    """x modulo PRIME, for x below 2^62."""
-    x = (x & PRIME) + (x >> np.uint64(31))
-    x = (x & PRIME) + (x >> np.uint64(31))
-    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+    """x modulo PRIME, for any 64-bit x."""
+    x = _fold(_fold(x))
+    return np.minimum(x, x - _MASK)  # below PRIME the difference wraps to a larger number
 
 
 class Powers:
@@ -53,25 +58,21 @@ class Prefixes:
         self.n = len(codes)
         self.tables = powers.upto(self.n)
         letters = codes.astype(np.uint64) + np.uint64(1)
-        self.sums = [np.concatenate([np.zeros(1, np.uint64), _reduce(np.cumsum(_reduce(letters * t[0, : self.n])))]) for t in self.tables]
-
-    def spans(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """62-bit hashes of the spans of one length that begin at ``starts``; equal texts hash alike wherever they stand."""
-        out = np.zeros(len(starts), np.uint64)
-        for sums, t in zip(self.sums, self.tables):
-            part = _reduce(_reduce(sums[starts + length] + np.uint64(PRIME) - sums[starts]) * t[1, starts])
-            out = (out << np.uint64(31)) | part
-        return out
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), _reduce(np.cumsum(_fold(letters * t[0, : self.n])))]) for t in self.tables]
 
     def all_spans(self, length: int) -> np.ndarray:
+        """62-bit hashes of all spans of one length; equal texts hash alike wherever they stand."""
         out = np.zeros(self.n - length + 1, np.uint64)
         for sums, t in zip(self.sums, self.tables):
-            part = _reduce(_reduce(sums[length:] + np.uint64(PRIME) - sums[: self.n - length + 1]) * t[1, : self.n - length + 1])
+            part = _reduce((sums[length:] + _MASK - sums[: self.n - length + 1]) * t[1, : self.n - length + 1])
             out = (out << np.uint64(31)) | part
         return out
 
     def span(self, start: int, length: int) -> int:
-        return int(self.spans(np.array([start]), length)[0])
+        out = 0
+        for sums, t in zip(self.sums, self.tables):
+            out = out << 31 | (int(sums[start + length]) - int(sums[start])) * int(t[1, start]) % PRIME
+        return out
 
 
 def same_span(a: Prefixes, i: int, b: Prefixes, j: int, length: int) -> bool:
