@@ -28,7 +28,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH {SIGNALS} {sql}" if "sig" in sql else sql
+            ORACLES[f.__name__] = f"WITH RECURSIVE {SIGNALS} {sql}" if "sig" in sql else sql
         return f
 
     return add
@@ -293,7 +293,13 @@ def link_quality(spark, sf_dir):
     return df.groupBy(*VS).agg(F.avg("seq_gap").alias("g"), F.avg("dt").alias("a")).filter(a > 0).select(*VS, F.round(g / (1 + g) * 1_000_000).cast("long").alias("drop_ppm"), F.round(F.lit(HOUR * 60) / a, 6).alias("rate"))
 
 
-@query()
+@query("""SELECT vehicle, seq, CASE WHEN NOT armed THEN 'disarmed' WHEN t - since < 3000000000 THEN 'transient' WHEN inside = 1 THEN 'maneuver' ELSE 'steady' END AS phase FROM (
+  SELECT *, min(CASE WHEN armed THEN t END) OVER w AS since, last_value(CASE WHEN length >= 5 AND band <> 0 THEN band END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inside FROM (
+   SELECT *, row_number() OVER (PARTITION BY vehicle, epoch, run ORDER BY t, seq) AS length FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY vehicle ORDER BY t, seq) AS run FROM (
+     SELECT *, CASE WHEN lag(band) OVER (PARTITION BY vehicle ORDER BY t, seq) = band THEN 0 ELSE 1 END AS fresh FROM (
+      SELECT *, CASE WHEN NOT armed THEN 0 WHEN omega > 0.35 THEN 1 WHEN omega < 0.25 THEN -1 ELSE 0 END AS band, sum(CASE WHEN armed THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle ORDER BY t, seq) AS epoch FROM (
+       SELECT vehicle, seq, t * 1000 AS t, seq % 97 <> 0 AS armed, value / 200 AS omega FROM sig))))) WINDOW w AS (PARTITION BY vehicle, epoch ORDER BY t, seq))""")
 def flight_phase(spark, sf_dir):
     df = signals(spark, sf_dir).select("vehicle", "seq", (F.col("t") * 1000).alias("t"), F.when(F.col("seq") % 97 == 0, 1).otherwise(2).alias("arming"), (F.col("value") / 200).alias("omega"))
     return W.flight_phase(df, V, T, "t", "arming", "omega").select("vehicle", "seq", "phase")
@@ -547,26 +553,57 @@ def severity_hysteresis(spark, sf_dir):
     return held.groupBy("vehicle").agg(F.max_by("held", F.struct("t", "seq")).alias("held"))
 
 
+def _recursive(columns: str, first: str, then: str, out: str) -> str:
+    """SQL of an ordered fold: n has each vehicle's rows numbered; the state of row i comes from that of row i - 1 (s) and the row (n)."""
+    return f""", n AS (SELECT vehicle, seq, t, {columns}, row_number() OVER (PARTITION BY vehicle ORDER BY t, seq) AS i FROM sig),
+  s AS (SELECT n.vehicle, n.seq, n.i, {first} FROM n WHERE i = 1 UNION ALL SELECT n.vehicle, n.seq, n.i, {then} FROM s JOIN n ON n.vehicle = s.vehicle AND n.i = s.i + 1)
+  SELECT vehicle, seq, {out} FROM s"""
+
+
 @query()
 def timesync_filter(spark, sf_dir):
     df = signals(spark, sf_dir).select("vehicle", "seq", "t", (F.col("t") * 1000).alias("sent"), (F.col("t") * 1000 + (F.col("value") * 1000).cast("long")).alias("received"), (F.col("t") * 1000 + 777).alias("remote"))
     return C.time_sync(df, V, T, "remote", "sent", "received").select("vehicle", "seq", "accepted", "offset_ns", "rtt_ns", "quality", "rejected")
 
 
-@query()
+_WORST = "CASE WHEN n.free < 50 THEN 3 WHEN n.free < 200 THEN 2 WHEN n.free < 400 THEN 1 ELSE 0 END"
+
+
+@query(
+    _recursive(
+        "CAST(trunc(value * 10) AS BIGINT) AS free", f"{_WORST} AS stage",
+        f"CASE WHEN {_WORST} > s.stage THEN {_WORST} WHEN s.stage > 0 AND n.free >= [600, 300, 100][s.stage] THEN s.stage - 1 ELSE s.stage END", "stage",
+    )
+)
 def shed_ladder(spark, sf_dir):
     df = signals(spark, sf_dir).withColumn("free", (F.col("value") * 10).cast("long"))
     return C.shedding(df, V, T, "free", (400, 200, 50), (600, 300, 100)).select("vehicle", "seq", "stage")
 
 
-@query()
+_SEND = """(n.severity <> s.sent OR n.t - s.last >= CASE n.severity WHEN 'critical' THEN CASE WHEN n.seq % 2 = 0 THEN 1000000000 ELSE 200000000 END WHEN 'warn' THEN 250000000 ELSE 1000000000 END)"""
+
+
+@query(
+    _recursive(
+        "CASE WHEN value > 300 THEN 'critical' WHEN value > 80 THEN 'warn' ELSE 'ok' END AS severity", "severity AS sent, t AS last, true AS send",
+        f"CASE WHEN {_SEND} THEN n.severity ELSE s.sent END, CASE WHEN {_SEND} THEN n.t ELSE s.last END, {_SEND}", "send",
+    )
+)
 def report_pacing(spark, sf_dir):
     v = F.col("value")
     df = signals(spark, sf_dir).withColumn("severity", F.when(v > 300, "critical").when(v > 80, "warn").otherwise("ok")).withColumn("acked", F.col("seq") % 2 == 0)
     return C.pacing(df, V, T, "severity", "acked", "t").select("vehicle", "seq", "send")
 
 
-@query()
+_NEW = "(s.size >= 50000 OR n.t - s.opened >= 864000000000 OR n.boot <> s.boot)"
+
+
+@query(
+    _recursive(
+        "seq // 5000 AS boot, CAST(trunc(value * 100) AS BIGINT) AS bytes", "0 AS segment, bytes AS size, t AS opened, boot",
+        f"s.segment + CASE WHEN {_NEW} THEN 1 ELSE 0 END, CASE WHEN {_NEW} THEN n.bytes ELSE s.size + n.bytes END, CASE WHEN {_NEW} THEN n.t ELSE s.opened END, CASE WHEN {_NEW} THEN n.boot ELSE s.boot END", "segment",
+    )
+)
 def segment_rotation(spark, sf_dir):
     df = signals(spark, sf_dir).withColumn("boot", F.floor(F.col("seq") / 5000)).withColumn("size", (F.col("value") * 100).cast("long"))
     return C.rotation(df, V, T, "boot", "size", "t", 50_000, 240 * HOUR).select("vehicle", "seq", "segment")
