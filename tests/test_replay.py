@@ -119,7 +119,7 @@ def run_stream(df, name, mode="append"):
 
 
 def test_streaming_counters_and_watchdog(spark, tmp_path):
-    rows = [("a", 0.0), ("b", 0.0), ("a", 1.0), ("a", 1.5), ("a", 30.0), ("c", 60.0)]
+    rows = [("a", 0.1), ("b", 0.5), ("a", 1.0), ("a", 1.5), ("a", 30.0), ("c", 60.0)]
     schema = "stream string, ts timestamp, seq_gap long"
     for i, (s, t) in enumerate(rows):
         spark.createDataFrame([(s, t)], "stream string, s double").select("stream", F.timestamp_seconds("s").alias("ts"), F.lit(1).cast("long").alias("seq_gap")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
@@ -129,7 +129,7 @@ def test_streaming_counters_and_watchdog(spark, tmp_path):
     assert got[("a", 0.0)] == 3 and got[("b", 0.0)] == 1
     run_stream(live.watchdog(source, ["stream"], 1000), "watched")
     got = [(r.stream, r.state, r.at_ms) for r in spark.table("watched").collect()]
-    assert ("b", "stale", 4000) in got and ("a", "stale", 5500) in got and ("a", "fresh", 30000) in got
+    assert ("b", "stale", 4500) in got and ("a", "stale", 5500) in got and ("a", "fresh", 30000) in got
 
 
 def test_streaming_ewma_equals_batch(spark, tmp_path):

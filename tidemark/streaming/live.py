@@ -34,10 +34,18 @@ def watchdog(rows: DataFrame, keys: list[str], period_ms: int, time: str = "ts",
             state.update((last, True))
             yield pd.DataFrame([(*key, "stale", last + limit)], columns=[*keys, "state", "at_ms"])
             return
-        seen = [int(x.timestamp() * 1000) for b in batches for x in b[time]]
-        newest = max([last, *seen])
-        if stale:
-            yield pd.DataFrame([(*key, "fresh", newest)], columns=[*keys, "state", "at_ms"])
+        found = []
+        for x in sorted(int(x.timestamp() * 1000) for b in batches for x in b[time]):
+            if last and not stale and x - last > limit:
+                found.append((*key, "stale", last + limit))
+                stale = True
+            if stale and x > last:
+                found.append((*key, "fresh", x))
+                stale = False
+            last = max(last, x)
+        newest = last
+        if found:
+            yield pd.DataFrame(found, columns=[*keys, "state", "at_ms"])
         state.update((newest, False))
         if newest + limit > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(newest + limit)
