@@ -21,6 +21,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Rows whose tokens train the models at most, and the log-likelihood ratio by character from which a token is a secret.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.5
+#: Observations that a letter's own following letters must outweigh.
+BACKOFF = 20.0
 
 _SPAN = "array<struct<kind:int,from:int,to:int,value:string>>"
 
@@ -73,7 +75,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
     underscores of 8 characters or more outside of them are ordinary identifiers. They come from about
     ``sample_rows`` documents chosen by a hash of their id (the bound of the fit), and from generated
     random strings over the whole alphabet, hexadecimal digits and letters with digits, which also serve where documents
-    have none. Counts are smoothed by one. The result has one number a pair, whatever the input's size.
+    have none. The result has one number a pair, whatever the input's size.
     """
     spark = docs.sparkSession
     text = text_or_empty()
@@ -97,12 +99,19 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
     )
     counts = tokens.select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
     n = len(ALPHABET)
-    seen = [[[1.0] * n for _ in range(n)] for _ in range(2)]
+    seen = [[[0] * n for _ in range(n)] for _ in range(2)]
     for row in counts.collect():  # at most two numbers a pair of letters
-        seen[row["random"]][row["pair"] // n][row["pair"] % n] += row["n"]
-    return [
-        math.log(seen[1][a][b] / sum(seen[1][a])) - math.log(seen[0][a][b] / sum(seen[0][a])) for a in range(n) for b in range(n)
-    ]
+        seen[row["random"]][row["pair"] // n][row["pair"] % n] = row["n"]
+    chance = [_conditional(s) for s in seen]
+    return [math.log(chance[1][a][b]) - math.log(chance[0][a][b]) for a in range(n) for b in range(n)]
+
+
+def _conditional(seen: list[list[int]]) -> list[list[float]]:
+    """The probability of each letter after each other one; where a letter is rare it leans on how common letters are at all."""
+    n = len(seen)
+    common = [sum(row[b] for row in seen) + 0.5 for b in range(n)]
+    share = [c / sum(common) for c in common]
+    return [[(row[b] + BACKOFF * share[b]) / (sum(row) + BACKOFF) for b in range(n)] for row in seen]
 
 
 def random_spans(text: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
