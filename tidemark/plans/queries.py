@@ -13,6 +13,7 @@ from tidemark.operators import scans as C
 from tidemark.operators import windows as W
 from tidemark.plans import replay, traces
 from tidemark.plans.adapters import SIGNALS, signals, table
+from tidemark.streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -609,6 +610,28 @@ def segment_rotation(spark, sf_dir):
     return C.rotation(df, V, T, "boot", "size", "t", 50_000, 240 * HOUR).select("vehicle", "seq", "segment")
 
 
+# --- The live path over the same rows -------------------------------------------------------------------------------
+
+
+def _live(spark, sf_dir):
+    """The table events as a stream."""
+    path = f"{sf_dir}/event[s].parquet"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("vehicle"), F.col("event_type").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.col("value"), F.lit(0).cast("long").alias("seq_gap"))
+
+
+@query("SELECT stream, t // 3600000000 AS hour, count(*) AS n FROM sig GROUP BY ALL")
+def live_counters(spark, sf_dir):
+    found = live.drained(live.counters(_live(spark, sf_dir), ["stream"], every="1 hour"), "complete")
+    return found.select("stream", F.expr("unix_micros(at) div 3600000000").alias("hour"), F.col("rows").alias("n"))
+
+
+@query(_recursive("value", "CAST(value AS DOUBLE) AS mean", "s.mean + 0.05 * (n.value - s.mean)", "round(mean + 1e-8, 6) AS ewma"))
+def live_ewma(spark, sf_dir):
+    df = live.drained(live.running_ewma(_live(spark, sf_dir), V, "seq", "value", 0.05))
+    return _rounded(df.withColumn("ewma", F.col("ewma") + 1e-8), "ewma")  # off the ties of cents
+
+
 # --- Replay of made flights -----------------------------------------------------------------------------------------
 
 
