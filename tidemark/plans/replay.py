@@ -12,6 +12,7 @@ from tidemark.operators import align
 from tidemark.operators.aggregates import merge_findings
 from tidemark.operators.scans import ordered_scan
 from tidemark.plans import lanes
+from tidemark.sources.shared import stored
 
 MISSION = ["mission_id"]
 COLUMNS = ["severity", "action", "health_flags", "detail_code", "value", "limit", "confidence"]
@@ -21,9 +22,10 @@ def lane_findings(events: DataFrame) -> DataFrame:
     """(mission_id, tick, lane, availability, severity, action, detail_code, value, limit, confidence, timesync_locked): eight rows a tick.
 
     ``events``: telemetry rows of any number of missions in one wide table. A tick sees what came strictly before
-    it. A boot, told by state rows, begins all lanes anew, but not the times at which streams were last seen.
+    it. A boot, told by state rows, begins all lanes anew, but not the times at which streams were last seen. The
+    prepared rows are written once to the shared folder; each lane scans its own columns of them.
     """
-    df = lanes.prepared(events)
+    df = stored(lanes.prepared(events), "prepared")
     seen = [F.when(F.col("stream_id") == k, F.col("t")).alias(f"seen{k}") for k in range(8)]
     base = df.select("mission_id", *lanes.ORDER, *seen, F.col("age_locked").alias("locked"), F.col("phase").alias("phase_now"), F.col("epoch").alias("epoch_now"))
     rows = align.merged([base, *lanes.lane_states(df)])

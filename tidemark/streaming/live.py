@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.ingest import STALE_PERIODS
 from tidemark.operators.scans import Ewma
+from tidemark.sources.shared import folder
 
 
 def counters(rows: DataFrame, keys: list[str], time: str = "ts", every: str = "1 second", late: str = "10 seconds") -> DataFrame:
@@ -84,19 +83,14 @@ def record(rows: DataFrame, path: str, checkpoint: str, partitions: list[str]):
     return rows.writeStream.format("parquet").partitionBy(*partitions).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where ``spark.checkpoint.dir`` points, which all executors share; a temporary one where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
-
-
 def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that its source has now, and read what it wrote. In complete mode each batch replaces the last one's result."""
-    spark, folder = rows.sparkSession, _folder(rows.sparkSession)
-    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    spark = rows.sparkSession
+    path = folder(spark, "stream")
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "complete":
-        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out"))
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
     else:
-        writer = writer.format("parquet").option("path", f"{folder}/out")
+        writer = writer.format("parquet").option("path", f"{path}/out")
     writer.start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
