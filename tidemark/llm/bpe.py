@@ -20,7 +20,7 @@ from tidemark.llm.common import table
 #: Where the vocabulary is; a parameter of every function that reads it.
 TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
 #: Word pieces and pair verdicts that one Python worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Stands for the word end within token texts while they are matched; no byte maps to it.
 _END = "\n"
 

@@ -18,7 +18,7 @@ FIT_ROWS, FEATURES, FOLDS = 6000, 1024, 5
 #: Hash buckets of words, and the word beginnings that count as features beside the words.
 BUCKETS, PREFIXES = 1 << 20, (5, 7)
 #: Words that one Python worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -28,26 +28,15 @@ def chain_of(labels: DataFrame) -> dict[str, Column]:
     return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
 
 
-class Features:
-    """Hash buckets of the distinct words of a text and of their beginnings."""
-
-    def __init__(self):
-        self.known: dict[str, tuple[int, ...]] = {}
+def buckets_of(word: str) -> list[int]:
+    """The hash buckets of a word and of its beginnings."""
+    return [zlib.crc32(x.encode()) % BUCKETS for x in (word, *(f"{word[:n]}-" for n in PREFIXES if len(word) >= n))]
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            names = [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) >= n)]
-            found = tuple(zlib.crc32(x.encode()) % BUCKETS for x in names)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(word) < 64:
-                self.known[word] = found
-        return found
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = set(_WORD.findall((text or "").lower()))
-        return np.array(sorted({x for w in words for x in self.of_word(w)}), np.int64)
+def features_of(text: str | None) -> np.ndarray:
+    """Hash buckets of the distinct words of a text and of their beginnings."""
+    words = set(_WORD.findall((text or "").lower()))
+    return np.array(sorted({x for w in words for x in buckets_of(w)}), np.int64)
 
 
 @dataclass
@@ -74,7 +63,6 @@ class Chain:
         for i, x in enumerate(self.links):
             weights[i, np.searchsorted(at, x.buckets)] = x.weights
         place = {int(b): i for i, b in enumerate(at)}
-        features = Features()
         used: dict[str, tuple[int, ...]] = {}
 
         def score(text: str | None) -> list[float]:
@@ -82,7 +70,7 @@ class Chain:
             for word in set(_WORD.findall((text or "").lower())):
                 found = used.get(word)
                 if found is None:
-                    found = tuple(place[b] for b in features.of_word(word) if b in place)
+                    found = tuple(place[b] for b in buckets_of(word) if b in place)
                     if len(used) >= REMEMBERED:
                         used.clear()
                     if len(word) < 64:
@@ -203,9 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Chain
     names = list(chain)
 
     def run(batches):
-        features = Features()
         for batch in batches:
-            found = pa.array([features.of(x.as_py()).astype(np.int32) for x in batch.column("text")], pa.list_(pa.int32()))
+            found = pa.array([features_of(x.as_py()).astype(np.int32) for x in batch.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), *(batch.column(n) for n in names), found], ["doc_id", "fold", *names, "buckets"])
 
     schema = "doc_id long, fold int, " + ", ".join(f"{n} int" for n in names) + ", buckets array<int>"
