@@ -11,7 +11,7 @@ from tidemark.llm.common import stored, table
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, trained on the table labels, doesn't reject."""
     chain = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain).filter("not rejected").select(*docs.columns)
+    return toxicity.without_toxic(docs, chain)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,5 @@
 import pytest
 
-CLASHING = "key long, node long, root long, source string, size string, ids string, s string, _doc long, lang string"
-
 
 @pytest.fixture(scope="session")
 def docs(spark):
@@ -13,7 +11,7 @@ def docs(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            for name in ("key", "node", "root", "fp", "s", "first", "seed", "bucket", "at", "copies", "class", "cell", "line", "links", "spans", "n", "id"):
+            for name in ("key", "node", "root", "fp", "s", "first", "seed", "bucket", "at", "copies", "class", "cell", "line", "links", "spans", "n", "id", "ids", "decoded", "rejected", "p_toxic", "gone_id", "cut", "cut_id", "copy", "taken_id", "whole", "size", "target", "taken", "batch", "salt"):
                 df = df.withColumn(name, F.lit(7))
         return df
 

@@ -55,3 +55,13 @@ def test_run_applies_all_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded_sha256"] and out.count() > 100
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_extra_columns_with_clashing_names_come_through(spark, folder, docs):
+    chain = toxicity.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    df = docs(["one two three four five six", "one two three four five six", "other words stand here in a row"], extra=True)
+    steps = [lambda d: toxicity.without_toxic(d, chain), lines.drop_duplicate_lines, simhash.without_near_duplicates, mixing.mixed]
+    for step in steps:
+        out = step(df)
+        assert out.columns == df.columns and {r.gone_id for r in out.collect()} <= {7}
+    assert bpe.encode(df).count() == bpe.decode(bpe.encode(df)).count() == 3

@@ -276,8 +276,10 @@ def encode(docs: DataFrame, path: str = TOKENIZER, text: str = "text", to: str =
 
     As the tokenizers library encodes with the file at ``path``, without adding special tokens: special
     token strings in the text are special tokens. Null and empty texts give an empty array. The file is
-    read on the driver and broadcast; rows stay where they are, in their order, with all their columns.
+    read on the driver and broadcast; rows stay where they are, in their order, with all their columns; a column ``to``
+    that is there already is replaced.
     """
+    docs = docs.drop(to)
     shared = docs.sparkSession.sparkContext.broadcast(tables(path))
 
     def run(batches):
@@ -295,8 +297,9 @@ def encode(docs: DataFrame, path: str = TOKENIZER, text: str = "text", to: str =
 def decode(docs: DataFrame, path: str = TOKENIZER, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``docs`` with the column ``to``: the text of the token ids, as the library's decode gives it with special tokens kept.
 
-    Null and empty arrays give an empty text.
+    Null and empty arrays give an empty text; a column ``to`` that is there already is replaced.
     """
+    docs = docs.drop(to)
     shared = docs.sparkSession.sparkContext.broadcast(tables(path))
 
     def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table, word_count
+from tidemark.llm.common import free_name, stored, table, word_count
 
 #: A source is repeated this many times at most.
 MOST_COPIES = 3
@@ -87,9 +87,10 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     Rows that share a doc_id (or have none) all take the most copies among them.
     """
-    copies = mix(docs, seed).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    own, n, nth = (free_name(docs.columns, x) for x in ("taken_id", "copies", "copy"))
+    copies = mix(docs, seed).groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").cast("int").alias(n)).filter(F.col(n) > 0)
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(own)))
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

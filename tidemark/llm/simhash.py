@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import free_name, stored, table
 from tidemark.llm.components import components
 
 #: Bits at which fingerprints of near duplicates may differ.
@@ -164,8 +164,9 @@ def without_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     Rows that share that doc_id all stay; a group without any doc_id stays.
     """
     groups = near_duplicates(docs, width)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    own = free_name(docs.columns, "gone_id")
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -202,11 +202,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Chain
     return fit_chain(names, rows, y, got["fold"].to_numpy())
 
 
+def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
+    """``docs`` with all its columns and only the rows that the chain doesn't reject."""
+    whole = F.struct(*docs.columns)
+    scored = score(docs.select(F.col("text"), whole.alias("whole")), chain)
+    return scored.filter("not rejected").select(*(F.col("whole").getField(c).alias(c) for c in docs.columns))
+
+
 def score(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
     """``docs`` with p_<category> for each link of the chain and ``rejected``: the last one's is ``threshold`` (the chain's, if none is given) or more.
 
-    Whole texts are read. Null, empty and wordless texts get what the biases give. Rows and their other columns stay as they are.
+    Whole texts are read. Null, empty and wordless texts get what the biases give. Rows and their other columns stay as they are; columns of these names that are there already are replaced.
     """
+    docs = docs.drop(*(f"p_{x.name}" for x in chain.links), "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [x.name for x in chain.links]
     threshold = chain.threshold if threshold is None else threshold
