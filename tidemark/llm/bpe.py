@@ -19,8 +19,8 @@ from tidemark.llm.common import table
 
 #: Where the vocabulary is; a parameter of every function that reads it.
 TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
-#: Word pieces and pair verdicts that one Python worker remembers at most.
-REMEMBERED = 100_000
+#: Pieces of text, and pair verdicts, in one generation of what a Python worker remembers; it keeps two.
+REMEMBERED, PAIRS = 120_000, 200_000
 #: Stands for the word end within token texts while they are matched; no byte maps to it.
 _END = "\n"
 
@@ -66,6 +66,27 @@ def tables(path: str) -> dict:
     }
 
 
+class Memory(dict):
+    """A bounded memory: once it holds ``most`` entries they become the older generation, and return when they are asked for."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def again(self, key):
+        """An entry of the older generation, now in this one too; None if there is none."""
+        found = self.older.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Encoder:
     """Encodes one text at a time; made once in each Python worker."""
 
@@ -96,9 +117,7 @@ class Encoder:
         self.split = regex.compile(spec["split"], regex.V1)
         self.spaces = regex.compile(r"\s+")
         self.edges: tuple[dict, dict] = {}, {}
-        self.words: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.words, self.known, self.pairs = Memory(REMEMBERED), Memory(REMEMBERED), Memory(PAIRS)
 
     def _prefix(self, text: str) -> int | None:
         """The longest token that is a proper prefix of a token."""
@@ -126,7 +145,7 @@ class Encoder:
         before either is used up; at equal rank the leftmost goes first.
         """
         key = left << 32 | right
-        known = self.pairs.get(key)
+        known = self.pairs.again(key)
         if known is None:
             a, b = self._edge(left, 1), self._edge(right, 0)
             i, j, known = len(a) - 1, len(b) - 1, True
@@ -142,9 +161,7 @@ class Encoder:
                     i -= 1
                 else:
                     j -= 1
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            self.pairs[key] = known
+            self.pairs.keep(key, known)
         return known
 
     def piece(self, text: str) -> list[int]:
@@ -181,17 +198,15 @@ class Encoder:
         return out
 
     def _word(self, word: str) -> list[int]:
-        found = self.words.get(word)
+        found = self.words.get(word) or self.words.again(word)
         if found is None:
             found = self.piece(word.encode().decode("latin-1").translate(self.letters) + _END)
             if len(word) < 64:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = found
+                self.words.keep(word, found)
         return found
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """The ids of a text without special tokens and without a blank at a place that counts: as 32-bit integers and as decimals."""
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids, as 32-bit integers, of a text without special tokens and without a blank at a place that counts."""
         text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         text = text.lower()
         if text.isalpha():
@@ -200,64 +215,73 @@ class Encoder:
             ids = self._word(text[:-1]) + self._word(text[-1])
         else:
             ids = [i for word in self.split.findall(self.spaces.sub(" ", text)) for i in self._word(word)]
-        return array("i", ids).tobytes(), " ".join(map(str, ids))
+        return array("i", ids).tobytes()
 
-    def plain(self, text: str, out: list[tuple[bytes, str]]) -> None:
+    def plain(self, text: str, out: list[bytes]) -> None:
         """Append the ids of a text without special tokens. Word pieces never cross a blank, so what stands between blanks
         is encoded by itself, and remembered."""
         known = self.known
-        for chunk in text.replace("\n", " ").split(" "):
-            found = known.get(chunk)
-            if found is None:
-                found = self._chunk(chunk)
-                if len(chunk) < 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = found
-            out.append(found)
-
-    def chunks(self, text: str) -> list[tuple[bytes, str]]:
-        out: list[tuple[bytes, str]] = []
-        if not any(t in text for t in self.special):
-            self.plain(text, out)
-            return out
-        at = 0
-        for match in self.special_pattern.finditer(text):
-            self.plain(text[at : match.start()], out)
-            i = self.special[match[0]]
-            out.append((array("i", [i]).tobytes(), str(i)))
-            at = match.end()
-        self.plain(text[at:], out)
-        return out
+        chunks = text.replace("\n", " ").split(" ")
+        found = list(map(known.get, chunks))
+        for i, ids in enumerate(found):
+            if ids is None:
+                chunk = chunks[i]
+                ids = known.get(chunk)
+                if ids is None:
+                    ids = known.again(chunk)
+                if ids is None:
+                    ids = self._chunk(chunk)
+                    if len(chunk) < 64:
+                        known.keep(chunk, ids)
+                found[i] = ids
+        out += found
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([x for x, _ in self.chunks(text)]), np.int32)
-
-    def digest(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids, and the SHA-256 of their decimals joined by spaces."""
-        found = self.chunks(text)
-        decimals = " ".join([d for _, d in found if d])
-        return np.frombuffer(b"".join([x for x, _ in found]), np.int32), hashlib.sha256(decimals.encode()).hexdigest()
+        out: list[bytes] = []
+        if any(t in text for t in self.special):
+            at = 0
+            for match in self.special_pattern.finditer(text):
+                self.plain(text[at : match.start()], out)
+                out.append(array("i", [self.special[match[0]]]).tobytes())
+                at = match.end()
+            text = text[at:]
+        self.plain(text, out)
+        return np.frombuffer(b"".join(out), np.int32)
+
+
+class Slices:
+    """Texts in one byte string, with the offset at which each begins; numbers copy their slices out of it."""
+
+    def __init__(self, texts: list[str]):
+        parts = [f"{t} ".encode() for t in texts]
+        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in parts])])
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        """The texts of some numbers joined by one space, in UTF-8; part by part, for very long lists."""
+        out = []
+        for at in range(0, len(numbers), 65536):
+            some = numbers[at : at + 65536].astype(np.int64)
+            starts, sizes = self.offsets[some], self.offsets[some + 1] - self.offsets[some]
+            ends = np.cumsum(sizes)
+            out.append(self.bytes[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)].tobytes())
+        return b"".join(out)[:-1]
 
 
 class Decoder:
-    """All token texts in one byte string, with the offset at which each begins; ids copy their slices out of it."""
+    """Token texts, and the ids in decimal, in offset tables."""
 
     def __init__(self, spec: dict):
         tokens = {i: t for t, i in spec["vocab"].items()} | {i: t for t, i in spec["special"].items()}
-        texts = [f"{tokens.get(i, '')} ".encode() for i in range(max(tokens) + 1)]
-        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.texts = Slices([tokens.get(i, "") for i in range(max(tokens) + 1)])
+        self.decimals = Slices([str(i) for i in range(max(tokens) + 1)])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The token texts joined by one space, in UTF-8; part by part, for very long texts."""
-        parts = []
-        for at in range(0, len(ids), 65536):
-            some = ids[at : at + 65536].astype(np.int64)
-            starts, sizes = self.offsets[some], self.offsets[some + 1] - self.offsets[some]
-            ends = np.cumsum(sizes)
-            parts.append(self.bytes[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)].tobytes())
-        return b"".join(parts)[:-1]
+        return self.texts.joined(ids)
+
+    def digest(self, ids: np.ndarray) -> str:
+        """The SHA-256 of the ids in decimal, joined by one space."""
+        return hashlib.sha256(self.decimals.joined(ids)).hexdigest()
 
 
 #: The encoder and decoder of a file, by its hash, kept between the tasks of one Python worker.
@@ -328,10 +352,10 @@ def round_trip(docs: DataFrame, path: str = TOKENIZER, chunk: int = 512) -> Data
                 batch = whole.slice(at, chunk)
                 counts, ids_hash, text_hash = [], [], []
                 for x in batch.column(1):
-                    ids, digest = encoder.digest(x.as_py() or "")
+                    ids = encoder.encode(x.as_py() or "")
                     counts.append(len(ids))
-                    ids_hash.append(digest)
-                    text_hash.append(hashlib.sha256(decoder.decode(ids) if len(ids) else b"").hexdigest())
+                    ids_hash.append(decoder.digest(ids))
+                    text_hash.append(hashlib.sha256(decoder.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -353,7 +377,7 @@ def tokenized(docs: DataFrame, keep: list[str], path: str = TOKENIZER, chunk: in
             for at in range(0, whole.num_rows, chunk):
                 batch = whole.slice(at, chunk)
                 found = [encoder.encode(x.as_py() or "") for x in batch.column("text")]
-                hashes = [hashlib.sha256(decoder.decode(x) if len(x) else b"").hexdigest() for x in found]
+                hashes = [hashlib.sha256(decoder.decode(x)).hexdigest() for x in found]
                 sizes = np.array([len(x) for x in found], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
