@@ -34,7 +34,7 @@ def test_frames_are_found_between_noise_and_every_byte_is_counted(spark, tmp_pat
     got = frames.decode(files, EXTRAS).filter("path like '%/a'").orderBy("offset").collect()
     assert [r.sequence for r in got] == list(range(30)) and {(r.message, r.system, r.component) for r in got} == {(54000, 3, 1)}
     rows = {r.path[-1]: r for r in frames.accounts(files, EXTRAS).collect()}
-    assert all(r.balanced for r in rows.values()) and len(rows) == 3
+    assert all(r.balanced for r in rows.values()) and set(rows) == {"a", "c"}  # the source leaves empty files out
     assert rows["a"].ok == sum(map(len, good)) and rows["a"].pending == 5
 
 
