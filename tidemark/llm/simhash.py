@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import free_name, stored, table
 from tidemark.llm.components import components
+from tidemark.llm.similar import near_copies
 
 #: Bits at which fingerprints of near duplicates may differ.
 DISTANCE = 4
@@ -159,11 +160,12 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with all its columns, of each group of ``near_duplicates`` only the document with the smallest doc_id.
+    """``docs`` with all its columns, of each group of ``near_copies`` only the document with the smallest doc_id.
 
+    Groups are by shingle similarity, not by fingerprints: DISTANCE bits leave most copies of similarity 0.8 to 0.95 apart.
     Rows that share that doc_id all stay; a group without any doc_id stays.
     """
-    groups = near_duplicates(docs, width)
+    groups = near_copies(docs, width)
     own = free_name(docs.columns, "gone_id")
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
