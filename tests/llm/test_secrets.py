@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import secrets
 
@@ -43,6 +46,43 @@ def test_random_tokens_stand_out_of_identifiers(docs, plain):
     assert got[25] == {"wT7yK2pQ9zXv4LmN8bRc"}
 
 
+def markov(text, ratios):
+    """Tokens whose mean ratio is over the threshold and that no base span touches, by a plain loop."""
+    text, out = text or "", []
+    spans = [(m.start(), m.end()) for p, g, least in PATTERNS for m in p.finditer(text) if len(m[g]) >= least]
+    for m in re.finditer(secrets.TOKEN, text):
+        at = [secrets.ALPHABET.index(c) for c in m[0]]
+        mean = sum(ratios[a * len(secrets.ALPHABET) + b] for a, b in zip(at, at[1:])) / (len(at) - 1)
+        if mean > secrets.THRESHOLD and not any(a < m.end() and m.start() < b for a, b in spans):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_markov_spans_equal_a_plain_loop(docs, odd, plain):
+    rnd = random.Random(1)
+    ratios = secrets.train(plain)
+    letters = secrets.ALPHABET[:62]
+    piece = [
+        lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(14, 40))), lambda: rnd.choice(["password=", "token: ", "/", "é", " "]),
+        lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randrange(12, 30))), lambda: "AKIA" + "".join(rnd.choice(letters[26:]) for _ in range(16)), lambda: "ordinary_identifier_of_length",
+    ]
+    texts = dict(odd) | TEXTS | {100 + i: "".join(rnd.choice(piece)() + rnd.choice(["", " ", "\n"]) for _ in range(rnd.randrange(40))) for i in range(80)}
+    got = {r.doc_id: [(s["from"], s["to"]) for s in r.spans if s["kind"] == 3] for r in secrets.scan(docs(texts, extra=True), ratios).collect()}
+    assert got == {i: markov(t, ratios) for i, t in texts.items()}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_a_text_of_many_secrets_takes_linear_time(docs, plain):
+    rnd = random.Random(2)
+    ratios = secrets.train(plain)
+    one = lambda: f"api_key={''.join(rnd.choice('abcdefXYZ0123456789') for _ in range(20))} {''.join(rnd.choice(secrets.ALPHABET[:62]) for _ in range(24))}\n"
+    text = "".join(one() for _ in range(8_000))
+    began = time.time()
+    row = secrets.scan(docs([text]), ratios).select(F.size("base").alias("b"), F.size("spans").alias("s")).first()
+    assert row.b >= 8_000 and row.s > row.b + 7_000
+    assert time.time() - began < 60
+
+
 def test_query_digests(spark, docs, tmp_path, plain):
     docs(TEXTS).unionByName(plain.filter("doc_id < 5 or doc_id > 100")).write.parquet(f"{tmp_path}/documents.parquet")
     for r in secrets.op9_secrets(spark, str(tmp_path)).collect():

@@ -24,7 +24,32 @@ THRESHOLD = 0.5
 #: Observations that a letter's own following letters must outweigh.
 BACKOFF = 20.0
 
-_SPAN = "array<struct<kind:int,from:int,to:int,value:string>>"
+_ITEM = "struct<kind:int,from:int,to:int,value:string>"
+_SPAN = f"array<{_ITEM}>"
+_ORDERED = "struct<from:int,kind:int,to:int,value:string>"
+
+
+def running(items: Column, zero: Column, step, out, kind: str) -> Column:
+    """``out(state, item)`` of each item in order, as an array of ``kind``; ``step(state, item)`` is the state after it.
+
+    Items are taken in blocks of about the square root of their number, so no long array grows item by item.
+    """
+    size = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    empty = F.array().cast(f"array<{kind}>")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / size).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * size + 1, size))
+
+    def block(state: Column, own: Column) -> Column:
+        return F.aggregate(
+            own,
+            F.struct(state.alias("state"), empty.alias("made")),
+            lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["made"], F.array(out(acc["state"], x))).alias("made")),
+        )
+
+    def joined_to(acc: Column, own: Column) -> Column:
+        # Through an array of one, so that a block is gone through once.
+        return F.transform(F.array(block(acc["state"], own)), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["made"], F.array(r["made"])).alias("made")))[0]
+
+    return F.flatten(F.aggregate(blocks, F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("made")), joined_to)["made"])
 
 
 def found(text: Column, pattern: str, kind: int) -> Column:
@@ -34,27 +59,26 @@ def found(text: Column, pattern: str, kind: int) -> Column:
     added up are the positions.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spans = F.aggregate(
-        F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(values)).alias("gap"), values.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        F.lit(kind).alias("kind"),
-                        (acc["at"] + F.length(x["gap"])).alias("from"),
-                        (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("to"),
-                        x["value"].alias("value"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-    )["spans"]
+    items = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(values)).alias("gap"), values.alias("value"))
+    begin = lambda at, x: at + F.length(x["gap"])
+    end = lambda at, x: begin(at, x) + F.length(x["value"])
+    span = lambda at, x: F.struct(F.lit(kind).alias("kind"), begin(at, x).alias("from"), end(at, x).alias("to"), x["value"].alias("value"))
+    # Through an array of one, so that the texts are matched once.
+    spans = F.transform(F.array(items), lambda i: running(i, F.lit(0), end, span, _ITEM))[0]
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
+def untouched(spans: Column) -> Column:
+    """Of spans by position, then kind: those of the last kind that overlap none of the other kinds. They don't overlap each other, so
+    what may touch one from the right is the next span, and from the left whatever of the other kinds reaches furthest."""
+    last = len(KINDS) - 1
+    items = F.arrays_zip(spans.alias("own"), F.slice(spans, 2, F.greatest(F.size(spans), F.lit(1))).alias("after"))
+    reach = lambda far, x: F.when(x["own"]["kind"] < last, F.greatest(far, x["own"]["to"])).otherwise(far)
+    touched = lambda far, x: (far > x["own"]["from"]) | F.coalesce((x["after"]["from"] < x["own"]["to"]) & (x["after"]["kind"] < last), F.lit(False))
+    marked = running(items, F.lit(0), reach, lambda far, x: F.struct(x["own"].alias("own"), touched(far, x).alias("touched")), f"struct<own:{_ORDERED},touched:boolean>")
+    return F.transform(F.filter(marked, lambda m: (m["own"]["kind"] == last) & ~m["touched"]), lambda m: m["own"])
+
+
 def base_spans(text: Column) -> list[Column]:
     """Spans of the three base kinds. A match of ``assign`` is the whole match; it counts if its value is long enough."""
     assign = F.filter(found(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
@@ -132,12 +156,12 @@ def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
     ratios = train(docs) if ratios is None else ratios
     base = docs.select("doc_id", text_or_empty().alias("text"))
     base = base.select("doc_id", "text", *(c.alias(f"k{i}") for i, c in enumerate(base_spans(F.col("text")))), random_spans(F.col("text"), ratios).alias("random"))
-    covered = lambda s: F.exists(F.concat("k0", "k1", "k2"), lambda b: (b["from"] < s["to"]) & (s["from"] < b["to"]))
-    base = base.withColumn("k3", F.filter("random", lambda s: ~covered(s)))
     ordered = lambda *c: F.array_sort(
         F.transform(F.concat(*c), lambda s: F.struct(s["from"].alias("from"), s["kind"].alias("kind"), s["to"].alias("to"), s["value"].alias("value")))
     )
-    return base.select("doc_id", "k0", "k1", "k2", ordered("k0", "k1", "k2").alias("base"), ordered("k0", "k1", "k2", "k3").alias("spans"))
+    base = base.select("doc_id", "k0", "k1", "k2", ordered("k0", "k1", "k2").alias("base"), "random", ordered("k0", "k1", "k2", "random").alias("all"))
+    alone = F.when(F.size("random") > 0, untouched(F.col("all"))).otherwise(F.array().cast(f"array<{_ORDERED}>"))
+    return base.select("doc_id", "k0", "k1", "k2", "base", F.array_sort(F.concat("base", alone)).alias("spans"))
 
 
 def joined(spans: str) -> Column:
