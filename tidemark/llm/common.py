@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,15 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit number whose bits are 1 where over half of the hashes have a 1; many are counted part by part."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

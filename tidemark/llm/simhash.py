@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, stored, table
+from tidemark.llm.common import free_name, majority, stored, table
 from tidemark.llm.components import components
 from tidemark.llm.similar import near_copies
 
@@ -40,12 +40,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     stops = ends[len(words) - n :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
-    # Many hashes are counted part by part, so a very long text needs no more memory than a part.
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -162,10 +157,12 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` with all its columns, of each group of ``near_copies`` only the document with the smallest doc_id.
 
-    Groups are by shingle similarity, not by fingerprints: DISTANCE bits leave most copies of similarity 0.8 to 0.95 apart.
+    Candidates are documents whose SimHash fingerprints are DISTANCE bits apart or less, found by pigeonhole blocks (``near_links``), and,
+    as that leaves most copies of similarity 0.8 to 0.95 apart, those that share a MinHash band. Whole shingle sets decide.
+    Null texts and texts without words are one group; repeated rows are copies of each other only if their doc_ids differ.
     Rows that share that doc_id all stay; a group without any doc_id stays.
     """
-    groups = near_copies(docs, width)
+    groups = near_copies(docs, width, blocks=near_links)
     own = free_name(docs.columns, "gone_id")
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")

@@ -1,13 +1,15 @@
-"""Near copies by shingle similarity: MinHash bands find candidates, the whole shingle sets decide."""
+"""Near copies by shingle similarity: fingerprints and MinHash bands find candidates, the whole shingle sets decide."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import majority, stored
 from tidemark.llm.components import components
 from tidemark.llm.substrings import _BASE, _U, Words, _mix
 
@@ -55,20 +57,20 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, hash, node, size, bands) of every document; hash: of its text."""
+    """(doc_id, hash, node, size, bands, fp) of every document; hash: of its text; fp: the SimHash of its shingle set."""
 
     def run(batches):
         words = Words()
         for batch in batches:
             sets = (shingles_of(words.of(x.as_py()), width) for x in batch.column(2))
-            found = [(node_of(s), len(s), bands_of(s)) for s in sets]
+            found = [(node_of(s), len(s), bands_of(s), np.uint64(majority(s)).view(np.int64)) for s in sets]
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))],
-                    ["doc_id", "hash", "node", "size", "bands"],
+                    [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64())), pa.array([x[3] for x in found], pa.int64())],
+                    ["doc_id", "hash", "node", "size", "bands", "fp"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, node long, size long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, node long, size long, bands array<long>, fp long")
 
 
 def _sets(width: int):
@@ -153,22 +155,29 @@ def _verify(similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY, blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, component_id): each document with the smallest doc_id it is linked to, over any number of links.
 
     Documents link whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; words are as in
     ``fingerprint``, and all texts without words are alike. Documents of one set are one node. Nodes that share
-    a MinHash band are candidates. In each component of candidates the whole sets are compared, a set shuffled
+    a MinHash band are candidates, and so are those whose fingerprints ``blocks`` links: it makes (a, b) of distinct fp. In each component of candidates the whole sets are compared, a set shuffled
     once; a component of more than CELL shingles is split into parts by hash and compared part against part. Each
     cell passes on a spanning forest. A null doc_id is never the smallest unless its group has no other.
     """
     prints = stored(_prints(docs, width), "shingle-bands")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("one")
-    nodes = stored(prints.groupBy("node").agg(one, F.first("size").alias("size"), F.first("bands").alias("bands")), "shingle-nodes")
+    nodes = stored(prints.groupBy("node").agg(one, F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "shingle-nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     firsts = keyed.groupBy("band", "key").agg(F.min("node").alias("m"), F.max("node").alias("most")).filter("m != most")
     firsts = firsts.select(F.col("band").alias("b_"), F.col("key").alias("k_"), "m")
     links = keyed.join(firsts, (F.col("band") == F.col("b_")) & (F.col("key") == F.col("k_"))).select(F.col("node").alias("a"), F.col("m").alias("b"))
+    if blocks is not None:
+        named = nodes.groupBy("fp").agg(F.min("node").alias("m"), F.max("node").alias("most"))
+        same = nodes.join(named.filter("m != most").withColumnRenamed("fp", "f_"), F.col("fp") == F.col("f_")).select(F.col("node").alias("a"), F.col("m").alias("b"))
+        close = blocks(named.select("fp"))
+        for end in ("a", "b"):
+            close = close.join(named.select(F.col("fp").alias("f_"), F.col("m").alias(f"{end}_")), F.col(end) == F.col("f_")).drop("f_")
+        links = links.unionByName(same).unionByName(close.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
     roots = components(links, "a", "b").withColumnRenamed("node", "n_")
     known = nodes.select("node", "one", "size").join(roots, F.col("node") == F.col("n_")).select("node", "one", "size", "root")
     parts = known.groupBy("root").agg(F.ceil(F.sum("size") * 2 / CELL).cast("long").alias("parts")).withColumnRenamed("root", "r_")
