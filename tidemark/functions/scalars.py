@@ -99,7 +99,7 @@ def controller_to_companion_ns(us: Column, offset_ns: Column) -> Column:
 
 
 def companion_to_controller_us(ns: Column, offset_ns: Column) -> Column:
-    return F.expr("0L") + ((ns + offset_ns) / 1000).cast("long")
+    return F.call_function("div", ns + offset_ns, F.lit(1000).cast("long"))
 
 
 def report_interval_ns(severity: Column, acked: Column) -> Column:

@@ -30,7 +30,7 @@ def latest(df: DataFrame, keys: list[str], order: list[str], values: dict[str, C
 def ticks(df: DataFrame, keys: list[str], time: str, step: int = TICK_NS) -> DataFrame:
     """(keys, tick): the grid of each key: from the first multiple of ``step`` after its first row, up to its last row."""
     ends = df.groupBy(*keys).agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
-    start = F.expr("0L") + F.floor(F.col("_first") / F.lit(step)) * step + step
+    start = F.col("_first") - F.pmod(F.col("_first"), F.lit(step).cast("long")) + step
     ends = ends.withColumn("_start", start.cast("long")).filter(F.col("_start") <= F.col("_last"))
     return ends.select(*keys, F.explode(F.sequence("_start", "_last", F.lit(step).cast("long"))).alias("tick"))
 
@@ -48,12 +48,15 @@ def at_ticks(df: DataFrame, keys: list[str], time: str, order: list[str], values
     return seen.filter("_event = 0").select(*keys, F.col("_t").alias("tick"), *values)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """``left`` with the values of the last row of ``right`` at or before its time, by union and window."""
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], right_order: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` with the values of the last row of ``right`` at or before its time, by union and window.
+
+    Of rows of ``right`` of equal time the last by ``right_order``, then by the values themselves, counts.
+    """
     a = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(1))
     marked = F.struct(*values)
-    b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), marked.alias("_found"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), marked.alias("_found"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(right_order)))
+    w = Window.partitionBy(*keys).orderBy("_t", "_side", *(f"_o{i}" for i in range(len(right_order))), "_found").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True).withColumn("_found", F.last("_found", ignorenulls=True).over(w))
     return both.filter("_side = 1").select(*left.columns, *(F.col(f"_found.{v}").alias(v) for v in values))
 

@@ -50,7 +50,8 @@ def stale_intervals(df: DataFrame, keys: list[str], time: str, limit: int, sweep
     """One row for each silence of more than ``limit``: last_seen, stale_at (the first sweep beyond it) and recovered_at."""
     after = F.lead(time).over(Window.partitionBy(*keys).orderBy(time))
     found = df.select(*keys, F.col(time).alias("last_seen"), after.alias("recovered_at"))
-    stale_at = (F.floor((F.col("last_seen") + limit) / sweep) + 1) * sweep
+    due = F.col("last_seen") + limit
+    stale_at = due - F.pmod(due, F.lit(sweep).cast("long")) + sweep
     return found.withColumn("stale_at", stale_at.cast("long")).filter(F.col("stale_at") <= F.col("recovered_at"))
 
 

@@ -73,11 +73,13 @@ def sample_age(spark, sf_dir):
     return signals(spark, sf_dir).select("seq", I.age_ns(t * 1000 + 5_000_000, t - 250, v * 1000, v % 3 != 0).alias("age_ns"))
 
 
-@query("SELECT stream, t // 3600000000 AS hour, count(*) AS n, CAST(max(CASE WHEN t - 0 <= 4 * 900000000000 THEN 1 ELSE 0 END) AS INTEGER) AS any_fresh FROM sig GROUP BY ALL")
+@query(f"""SELECT stream, t // 3600000000 AS hour, count(*) AS n,
+  CAST(max(CASE WHEN t <> 0 AND (t // 3600000000 + 1) * 3600000000 - t <= {I.STALE_PERIODS} * 300000000 THEN 1 ELSE 0 END) AS INTEGER) AS any_fresh FROM sig GROUP BY ALL""")
 def freshness(spark, sf_dir):
+    """Whether a stream is fresh as each hour ends, at a period of five minutes."""
     df = signals(spark, sf_dir).withColumn("hour", F.floor(F.col("t") / HOUR))
-    old = F.col("t") <= F.lit(4 * 900_000_000_000)
-    return df.groupBy("stream", "hour").agg(F.count("*").alias("n"), F.max(old.cast("int")).alias("any_fresh"))
+    fresh = I.fresh((F.col("hour") + 1) * HOUR, F.col("t"), 300_000_000)
+    return df.groupBy("stream", "hour").agg(F.count("*").alias("n"), F.max(fresh.cast("int")).alias("any_fresh"))
 
 
 @query("""SELECT vehicle, CAST(count(*) AS BIGINT) AS n, CAST(sum(gap) AS BIGINT) AS gaps, CAST(floor(t / 86400000000) AS BIGINT) AS second FROM (
