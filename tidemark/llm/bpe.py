@@ -10,6 +10,7 @@ from array import array
 
 import ahocorasick
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 #: Where the vocabulary is; a parameter of every function that reads it.
-TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 #: Pieces of text, and pair verdicts, in one generation of what a Python worker remembers; it keeps two.
 REMEMBERED, PAIRS = 120_000, 200_000
 #: Stands for the word end within token texts while they are matched; no byte maps to it.

@@ -18,12 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The session's checkpoint folder or that of ``spark.checkpoint.dir``; a temporary one only in local mode, where the session names none."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+        if folder is None:
+            if sc.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
     return folder
 
