@@ -75,3 +75,17 @@ def test_null_ids_repeats_and_empty_tables(spark, docs):
     assert P.compare_with_next(df).count() == 4
     assert P.compare_with_next(df.limit(0)).count() == 0
     assert P.fingerprints(docs({1: "x"})).first().n_chars == 1
+
+
+def test_likeness_against_the_exact_share_of_spans():
+    """The sketch of 64 estimates Dice similarity of the span sets: within 0.25 for each pair here, and within 0.07 on average."""
+    rnd = random.Random(11)
+    make, errors = P.Fingerprints(), []
+    spans = lambda t: {t[i : i + P.SPAN] for i in range(max(1, len(t) - P.SPAN + 1))}
+    for _ in range(150):
+        a = "".join(rnd.choice("abcdefghij é") for _ in range(rnd.randrange(20, 1500)))
+        keep = rnd.randrange(len(a) + 1)
+        b = a[:keep] + "".join(rnd.choice("abcdefghij é") for _ in range(rnd.randrange(0, 800)))
+        x, y = spans(a), spans(b)
+        errors.append(abs(P.likeness(make.of(a)[2], make.of(b)[2]) - 2 * len(x & y) / (len(x) + len(y))))
+    assert max(errors) < 0.25 and sum(errors) / len(errors) < 0.07

@@ -54,3 +54,11 @@ def test_bounded_sample_and_no_labels(spark, docs, odd):
     got = X.score(docs(odd, extra=True), chain).collect()
     assert len(got) == len(odd) and not any(r.rejected for r in got)
     assert X.score(docs(odd).limit(0), chain).count() == 0
+
+def test_repeated_documents_are_fitted_once(spark):
+    rows = made(300)
+    df = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int")
+    one, many = X.train(df, labels), X.train(df.unionByName(df.filter("doc_id < 50")).unionByName(df.filter("doc_id = 7")), labels)
+    for a, b in zip(one.links, many.links):
+        assert np.array_equal(a.buckets, b.buckets) and np.allclose(a.weights, b.weights) and a.bias == b.bias
