@@ -139,6 +139,18 @@ class Robust:
         return (x - median) / max(1.4826 * mad, self.floor)
 
 
+class LinkState:
+    """Weighted means of gaps and of times between messages, and the variance of the latter."""
+
+    def __init__(self, alpha: float):
+        self.gap, self.interval = Ewma(alpha), Ewma(alpha)
+
+    def step(self, gap, interval):
+        self.gap.update(gap)
+        self.interval.update(interval)
+        return self.gap.mean if self.gap.n else None, self.interval.mean if self.interval.n else None, self.interval.var
+
+
 class Rls:
     """Recursive least squares on [1, u, u * u] with forgetting."""
 
@@ -266,6 +278,17 @@ def ewma(df: DataFrame, keys, order, value: str, alpha: float) -> DataFrame:
     return ordered_scan(df, keys, order, lambda: Ewma(alpha), [value], "ewma double, ewma_var double")
 
 
+def link_quality(df: DataFrame, keys, order, gap: str, interval: str, nominal: int, alpha: float) -> DataFrame:
+    """``df`` with lost_share (of messages), rate (nominal interval over the mean one) and jitter (deviation over the nominal interval) after each row.
+
+    A row without an interval leaves rate and jitter as they are; rate is null until the first interval.
+    """
+    df = ordered_scan(df, keys, order, lambda: LinkState(alpha), [gap, interval], "_gap double, _interval double, _var double")
+    g = F.greatest("_gap", F.lit(0.0))
+    rate = F.when(F.col("_interval") > 0, nominal / F.col("_interval"))
+    return df.withColumns({"lost_share": g / (1 + g), "rate": rate, "jitter": F.sqrt("_var") / nominal}).drop("_gap", "_interval", "_var")
+
+
 def rls(df: DataFrame, keys, order, u: str, y: str) -> DataFrame:
     return ordered_scan(df, keys, order, Rls, [u, y], "residual double, theta0 double, theta1 double, theta2 double")
 

@@ -288,12 +288,16 @@ def first_values(spark, sf_dir):
     return signals(spark, sf_dir).groupBy("vehicle").agg(F.min_by("value", "t").alias("home"), F.min("t").alias("since"))
 
 
-@query("""SELECT vehicle, stream, CAST(g / (1 + g) * 1000000 AS BIGINT) AS drop_ppm, round(3600000000 * 60 / a, 6) AS rate FROM (
-  SELECT vehicle, stream, avg(gap) AS g, avg(dt) AS a FROM (SELECT *, coalesce(seq - lag(seq) OVER w - 1, 0) AS gap, t - lag(t) OVER w AS dt FROM sig WINDOW w AS (PARTITION BY vehicle, stream ORDER BY t, seq)) GROUP BY ALL) WHERE a > 0""")
+@query(""", n AS (SELECT vehicle, stream, seq, CAST(coalesce(seq - lag(seq) OVER w - 1, 0) AS DOUBLE) AS gap, CAST(CASE WHEN t > lag(t) OVER w THEN t - lag(t) OVER w END AS DOUBLE) AS dt,
+   row_number() OVER w AS i FROM sig WINDOW w AS (PARTITION BY vehicle, stream ORDER BY t, seq)),
+  s AS (SELECT vehicle, stream, seq, i, gap AS g, dt AS m, CAST(0 AS DOUBLE) AS v FROM n WHERE i = 1 UNION ALL
+   SELECT n.vehicle, n.stream, n.seq, n.i, s.g + 0.05 * (n.gap - s.g), CASE WHEN s.m IS NULL THEN n.dt WHEN n.dt IS NULL THEN s.m ELSE s.m + 0.05 * (n.dt - s.m) END,
+    CASE WHEN s.m IS NULL OR n.dt IS NULL THEN s.v ELSE 0.95 * (s.v + (n.dt - s.m) * 0.05 * (n.dt - s.m)) END FROM s JOIN n ON n.vehicle = s.vehicle AND n.stream = s.stream AND n.i = s.i + 1)
+  SELECT vehicle, stream, seq, round(g / (1 + g), 6) AS lost_share, round(3600000000 / m, 6) AS rate, round(sqrt(v) / 3600000000, 6) AS jitter FROM s""")
 def link_quality(spark, sf_dir):
     df = I.inter_arrival(I.seq_gap(signals(spark, sf_dir), VS, T, "seq"), VS, T, "t")
-    g, a = F.col("g"), F.col("a")
-    return df.groupBy(*VS).agg(F.avg("seq_gap").alias("g"), F.avg("dt").alias("a")).filter(a > 0).select(*VS, F.round(g / (1 + g) * 1_000_000).cast("long").alias("drop_ppm"), F.round(F.lit(HOUR * 60) / a, 6).alias("rate"))
+    out = C.link_quality(df, VS, T, "seq_gap", "dt", HOUR, 0.05)
+    return _rounded(out, "lost_share", "rate", "jitter").select(*VS, "seq", "lost_share", "rate", "jitter")
 
 
 @query("""SELECT vehicle, seq, CASE WHEN NOT armed THEN 'disarmed' WHEN t - since < 3000000000 THEN 'transient' WHEN inside = 1 THEN 'maneuver' ELSE 'steady' END AS phase FROM (
@@ -521,11 +525,22 @@ def conversions(spark, sf_dir):
 # --- Ordered scans --------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT vehicle, round(list_reduce(list(value ORDER BY seq), lambda a, x: a + 0.05 * (x - a)), 6) AS ewma FROM sig GROUP BY 1""")
+def _recursive(columns: str, first: str, then: str, out: str) -> str:
+    """SQL of an ordered fold: n has each vehicle's rows numbered; the state of row i comes from that of row i - 1 (s) and the row (n)."""
+    return f""", n AS (SELECT vehicle, seq, t, {columns}, row_number() OVER (PARTITION BY vehicle ORDER BY t, seq) AS i FROM sig),
+  s AS (SELECT n.vehicle, n.seq, n.i, {first} FROM n WHERE i = 1 UNION ALL SELECT n.vehicle, n.seq, n.i, {then} FROM s JOIN n ON n.vehicle = s.vehicle AND n.i = s.i + 1)
+  SELECT vehicle, seq, {out} FROM s"""
+
+
+@query(
+    _recursive(
+        "CAST(value AS DOUBLE) AS x", "x AS mean, CAST(0 AS DOUBLE) AS var", "s.mean + 0.05 * (n.x - s.mean), 0.95 * (s.var + (n.x - s.mean) * 0.05 * (n.x - s.mean))",
+        "round(mean + 1e-8, 6) AS ewma, round(var + 1e-7, 5) AS ewma_var",
+    )
+)
 def ewma(spark, sf_dir):
-    df = C.ewma(signals(spark, sf_dir), V, ["seq"], "value", 0.05)
-    last = F.max_by("ewma", "seq")
-    return _rounded(df.groupBy("vehicle").agg(last.alias("ewma")), "ewma")
+    df = C.ewma(signals(spark, sf_dir), V, T, "value", 0.05)  # off the ties of cents
+    return df.select("vehicle", "seq", F.round(F.col("ewma") + 1e-8, 6).alias("ewma"), F.round(F.col("ewma_var") + 1e-7, 5).alias("ewma_var"))
 
 
 @query("""SELECT vehicle, round(list_reduce(list(value ORDER BY seq), lambda a, x: a + 0.05 * (x - a)), 6) AS ewma FROM sig GROUP BY 1""")
@@ -533,37 +548,57 @@ def ewma_fold(spark, sf_dir):
     return _rounded(C.final_ewma(signals(spark, sf_dir), V, "seq", "value", 0.05), "ewma")
 
 
-@query()
+def _rls_sql() -> str:
+    """The recursion of three-parameter least squares: h the parameters, p the matrix, m = p * phi, w the weight, e the residual."""
+    at = range(1, 4)
+    dot = lambda v: f"({v}[1] + {v}[2] * u + {v}[3] * u * u)"
+    h = ", ".join(f"h[{i}] + m[{i}] / w * e" for i in at)
+    p = ", ".join("[" + ", ".join(f"(p[{i}][{j}] - m[{i}] / w * m[{j}]) / 0.999" for j in at) + "]" for i in at)
+    start = ", ".join("[" + ", ".join("100::DOUBLE" if i == j else "0::DOUBLE" for j in at) + "]" for i in at)
+    moved = ", ".join(dot(f"p[{i}]") for i in at)
+    return f""", n AS (SELECT vehicle, seq, vehicle / 1000 + (seq % 10) / 10 AS u, CAST(value AS DOUBLE) AS y, row_number() OVER (PARTITION BY vehicle ORDER BY t, seq) AS i FROM sig),
+  s AS (SELECT vehicle, seq, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS e, [0::DOUBLE, 0::DOUBLE, 0::DOUBLE] AS h, [{start}] AS p FROM n WHERE i = 1 UNION ALL
+   SELECT vehicle, seq, i, e, [{h}], [{p}] FROM (SELECT *, 0.999 + {dot("m")} AS w, y - {dot("h")} AS e FROM (
+    SELECT *, [{moved}] AS m FROM (SELECT n.vehicle, n.seq, n.i, n.u, n.y, s.h, s.p FROM s JOIN n ON n.vehicle = s.vehicle AND n.i = s.i + 1))))
+  SELECT vehicle, seq, round(e, 4) AS residual, round(h[1], 4) AS theta0, round(h[2], 4) AS theta1, round(h[3], 4) AS theta2 FROM s WHERE i > 0"""
+
+
+@query(_rls_sql())
 def rls3(spark, sf_dir):
     df = signals(spark, sf_dir).withColumn("u", F.col("vehicle") / 1000 + (F.col("seq") % 10) / 10)
     return _rounded(C.rls(df, V, T, "u", "value"), "residual", "theta0", "theta1", "theta2", digits=4).select("vehicle", "seq", "residual", "theta0", "theta1", "theta2")
 
 
-_HYST = """, r AS (SELECT vehicle, t, seq, CASE WHEN value > 300 THEN 2 WHEN value > 80 THEN 1 ELSE 0 END AS raw, row_number() OVER (PARTITION BY vehicle ORDER BY t, seq) AS i FROM sig)"""
+_FALL = "(n.raw >= s.now OR (s.pending = n.raw AND n.t - s.since >= 86400000000))"
 
 
-@query(f"""{_HYST}, steps AS (
-  SELECT vehicle, list_reduce(list_prepend({{'n': CAST(0 AS INTEGER), 'p': CAST(-1 AS INTEGER), 's': CAST(0 AS BIGINT), 'raw': CAST(0 AS INTEGER), 't': CAST(0 AS BIGINT)}},
-    list({{'n': CAST(0 AS INTEGER), 'p': CAST(-1 AS INTEGER), 's': CAST(0 AS BIGINT), 'raw': raw, 't': t}} ORDER BY i)),
-   lambda a, x: {{'n': CASE WHEN x.raw >= a.n OR (a.p = x.raw AND x.t - a.s >= 86400000000) THEN x.raw ELSE a.n END,
-     'p': CASE WHEN x.raw >= a.n OR (a.p = x.raw AND x.t - a.s >= 86400000000) THEN CAST(-1 AS INTEGER) ELSE x.raw END,
-     's': CASE WHEN a.p = x.raw THEN a.s ELSE x.t END, 'raw': x.raw, 't': x.t}}) AS e FROM r GROUP BY vehicle)
-  SELECT vehicle, ['ok', 'warn', 'critical'][e.n + 1] AS held FROM steps""")
+@query(
+    _recursive(
+        "CASE WHEN value > 300 THEN 2 WHEN value > 80 THEN 1 ELSE 0 END AS raw", "raw AS now, -1 AS pending, t AS since",
+        f"CASE WHEN {_FALL} THEN n.raw ELSE s.now END, CASE WHEN {_FALL} THEN -1 ELSE n.raw END, CASE WHEN s.pending = n.raw THEN s.since ELSE n.t END", "['ok', 'warn', 'critical'][now + 1] AS held",
+    )
+)
 def severity_hysteresis(spark, sf_dir):
     v = F.col("value")
     df = signals(spark, sf_dir).withColumn("severity", F.when(v > 300, "critical").when(v > 80, "warn").otherwise("ok"))
-    held = C.held_severity(df, V, T, "severity", "t", 24 * HOUR, S.HOLD_RANK)
-    return held.groupBy("vehicle").agg(F.max_by("held", F.struct("t", "seq")).alias("held"))
+    return C.held_severity(df, V, T, "severity", "t", 24 * HOUR, S.HOLD_RANK).select("vehicle", "seq", "held")
 
 
-def _recursive(columns: str, first: str, then: str, out: str) -> str:
-    """SQL of an ordered fold: n has each vehicle's rows numbered; the state of row i comes from that of row i - 1 (s) and the row (n)."""
-    return f""", n AS (SELECT vehicle, seq, t, {columns}, row_number() OVER (PARTITION BY vehicle ORDER BY t, seq) AS i FROM sig),
-  s AS (SELECT n.vehicle, n.seq, n.i, {first} FROM n WHERE i = 1 UNION ALL SELECT n.vehicle, n.seq, n.i, {then} FROM s JOIN n ON n.vehicle = s.vehicle AND n.i = s.i + 1)
-  SELECT vehicle, seq, {out} FROM s"""
+def _timesync_sql() -> str:
+    """The clock filter: a the accepted exchanges (o offset, r round trip), b the outcomes, each the last 32; nearest ranks of sorted lists."""
+    rank = lambda l, q: f"{l}[CAST(least(len({l}) * {q} // 100, len({l}) - 1) AS INTEGER) + 1]"
+    of = lambda l, f: f"list_sort(list_transform({l}, lambda x: x.{f}))"
+    return f""", n AS (SELECT vehicle, seq, CAST(trunc(value * 1000) AS BIGINT) AS trip, row_number() OVER (PARTITION BY vehicle ORDER BY t, seq) AS i FROM sig),
+  s AS (SELECT vehicle, seq, CAST(0 AS BIGINT) AS i, false AS bad, [{{'o': CAST(0 AS BIGINT), 'r': CAST(0 AS BIGINT)}}][:0] AS a, [false][:0] AS b, CAST(0 AS BIGINT) AS rejected FROM n WHERE i = 1 UNION ALL
+   SELECT vehicle, seq, i, bad, CASE WHEN bad THEN a ELSE list_append(a, {{'o': CAST(777 - trip // 2 AS BIGINT), 'r': trip}})[-32:] END, list_append(b, bad)[-32:], rejected + CASE WHEN bad THEN 1 ELSE 0 END FROM (
+    SELECT *, trip < 0 OR (len(a) >= 8 AND trip > {rank(of("a", "r"), 90)} * 3 // 2) AS bad FROM (
+     SELECT n.vehicle, n.seq, n.i, n.trip, s.a, s.b, s.rejected FROM s JOIN n ON n.vehicle = s.vehicle AND n.i = s.i + 1))),
+  e AS (SELECT *, {of("a", "o")} AS o, {of("a", "r")} AS r FROM s WHERE i > 0)
+  SELECT vehicle, seq, len(a) > 0 AND NOT bad AS accepted, {rank("o", 50)} AS offset_ns, {rank("r", 50)} AS rtt_ns, rejected,
+   CASE WHEN len(a) >= 8 AND {rank("r", 90)} - {rank("r", 10)} <= 20000000 AND len(list_filter(b, lambda x: x)) / len(b) < 0.3 THEN 'locked' WHEN len(a) >= 4 THEN 'degraded' ELSE 'unlocked' END AS quality FROM e"""
 
 
-@query()
+@query(_timesync_sql())
 def timesync_filter(spark, sf_dir):
     df = signals(spark, sf_dir).select("vehicle", "seq", "t", (F.col("t") * 1000).alias("sent"), (F.col("t") * 1000 + (F.col("value") * 1000).cast("long")).alias("received"), (F.col("t") * 1000 + 777).alias("remote"))
     return C.time_sync(df, V, T, "remote", "sent", "received").select("vehicle", "seq", "accepted", "offset_ns", "rtt_ns", "quality", "rejected")
