@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import FLAG, FLAG_DEGRADED, FLAG_TIMESYNC, MERGE_RANK, PRIORITY, lookup
+from tidemark.operators.ingest import STREAMS
 
 
 def stream_rollup(df: DataFrame, keys: list[str], time: str, gap: str = "seq_gap") -> DataFrame:
@@ -23,6 +24,20 @@ def drop_totals(events: DataFrame) -> DataFrame:
     return events.filter("kind = 'drop'").groupBy("stream", "reason").agg(F.sum("count").alias("dropped"))
 
 
+def log_health() -> list[Column]:
+    """Aggregates over rows of the operational log, for ``agg`` or ``observe``: dropped rows by stream, dropped raw frames (no stream), parts sealed,
+    write errors and missed rows (kinds seal, write_error, lag), the last shed stage and free space, and whether anything was dropped, shed or failed."""
+    kind, dropped = F.col("kind"), F.col("kind") == "drop"
+    total = lambda rows: F.sum(F.when(rows, F.col("count")).otherwise(0)).cast("long")
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("cc_receive_time_ns", c)))[c]
+    wrong = F.coalesce((dropped & (F.col("count") > 0)) | (kind == "write_error") | (F.col("shed_stage") > 0), F.lit(False))
+    return [
+        *(total(dropped & (F.col("stream_id") == k)).alias(f"dropped_{name}") for name, k in STREAMS.items()), total(dropped & F.col("stream_id").isNull()).alias("raw_dropped"),
+        total(kind == "seal").alias("parts_sealed"), total(kind == "write_error").alias("write_errors"), total(kind == "lag").alias("lagged"),
+        last("shed_stage").alias("shed_stage"), last("free_bytes").cast("long").alias("free_bytes"), F.bool_or(wrong).alias("warn"),
+    ]
+
+
 def audit(timeline: DataFrame, missions: list[str]) -> DataFrame:
     """One row: missions, ticks, ticks with a warning and a critical finding, their share (warn_rate), and whether the gate passes."""
     warn, critical = F.count_if(F.col("severity") == "warn"), F.count_if(F.col("severity") == "critical")
@@ -112,8 +127,3 @@ def verdict(checks: DataFrame, keys: list[str]) -> DataFrame:
     )
     level = F.when(F.col("c"), "corrupt").when(F.col("d"), "dirty").otherwise("clean")
     return found.select(*keys, level.alias("verdict"), F.array_join("reasons", ";").alias("reasons"))
-
-
-def first_differences(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")

@@ -35,6 +35,12 @@ def boot_epoch(df: DataFrame, keys: list[str], order: list[str], boot: str = "bo
     return df.withColumn("_changed", changed).withColumn("epoch", F.sum("_changed").over(w)).drop("_changed")
 
 
+def demux(frames: DataFrame, message: str, sent: str, sync: int, safety: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(replies, telemetry, acknowledgements): clock replies (requests, whose ``sent`` is zero, go), all other frames, and those of the safety status again."""
+    is_sync = F.col(message).eqNullSafe(F.lit(sync))
+    return frames.filter(is_sync & (F.col(sent) != 0)), frames.filter(~is_sync), frames.filter(F.col(message) == safety)
+
+
 def age_ns(now_ns: Column, fc_us: Column, offset_ns: Column, locked: Column) -> Column:
     """Time since a measurement by the common clock; null while the clocks aren't locked."""
     return F.when(locked, now_ns - (fc_us * 1000 - offset_ns))

@@ -522,6 +522,31 @@ def conversions(spark, sf_dir):
     )
 
 
+@query("""SELECT seq, 'reply' AS route FROM sig WHERE vehicle % 5 = 0 AND seq % 3 <> 0 UNION ALL SELECT seq, 'telemetry' FROM sig WHERE vehicle % 5 <> 0
+  UNION ALL SELECT seq, 'acknowledgement' FROM sig WHERE vehicle % 5 = 1""")
+def sync_demux(spark, sf_dir):
+    df = signals(spark, sf_dir).select("seq", (F.col("vehicle") % 5).alias("message"), (F.col("seq") % 3).alias("sent"))
+    routes = zip(I.demux(df, "message", "sent", 0, 1), ("reply", "telemetry", "acknowledgement"))
+    return J.merged([d.select("seq", F.lit(name).alias("route")) for d, name in routes])
+
+
+_DROPPED = ", ".join(f"CAST(coalesce(sum(n) FILTER (kind = 'drop' AND stream_id = {k}), 0) AS BIGINT) AS dropped_{name}" for name, k in I.STREAMS.items())
+
+
+@query(f"""SELECT vehicle, {_DROPPED}, CAST(coalesce(sum(n) FILTER (kind = 'drop' AND stream_id IS NULL), 0) AS BIGINT) AS raw_dropped, CAST(coalesce(sum(n) FILTER (kind = 'seal'), 0) AS BIGINT) AS parts_sealed,
+  CAST(coalesce(sum(n) FILTER (kind = 'write_error'), 0) AS BIGINT) AS write_errors, CAST(coalesce(sum(n) FILTER (kind = 'lag'), 0) AS BIGINT) AS lagged, max({{'t': t, 'x': stage}}).x AS shed_stage,
+  max({{'t': t, 'x': free}}) FILTER (free IS NOT NULL).x AS free_bytes, coalesce(bool_or((kind = 'drop' AND n > 0) OR kind = 'write_error' OR stage > 0), false) AS warn FROM (
+  SELECT vehicle, t, CAST(floor(value) AS BIGINT) AS n, ['drop', 'seal', 'shed', 'write_error', 'lag'][seq % 5 + 1] AS kind, CASE WHEN seq % 9 < 8 THEN seq % 9 END AS stream_id,
+   CASE WHEN seq % 50 = 2 THEN 1 ELSE 0 END AS stage, CASE WHEN seq % 5 = 2 THEN CAST(floor(value * 10) AS BIGINT) END AS free FROM sig) GROUP BY vehicle""")
+def log_health(spark, sf_dir):
+    seq, v = F.col("seq"), F.col("value")
+    operations = signals(spark, sf_dir).select(
+        "vehicle", F.col("t").alias("cc_receive_time_ns"), F.get(F.array(*map(F.lit, ("drop", "seal", "shed", "write_error", "lag"))), (seq % 5).cast("int")).alias("kind"),
+        F.when(seq % 9 < 8, seq % 9).alias("stream_id"), F.floor(v).alias("count"), F.when(seq % 50 == 2, 1).otherwise(0).alias("shed_stage"), F.when(seq % 5 == 2, F.floor(v * 10)).alias("free_bytes"),
+    )
+    return operations.groupBy("vehicle").agg(*A.log_health())
+
+
 # --- Ordered scans --------------------------------------------------------------------------------------------------
 
 

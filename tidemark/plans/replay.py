@@ -62,3 +62,9 @@ def timeline_hash(timeline: DataFrame) -> DataFrame:
     df = timeline.withColumn("total", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("tick")))
     df = ordered_scan(df, MISSION, ["tick"], _Digest, ["total", "nth", "tick", *COLUMNS], "sha256 string")
     return df.filter("sha256 is not null").select("mission_id", F.col("total").alias("ticks"), "sha256")
+
+
+def summary(timeline: DataFrame) -> DataFrame:
+    """(mission_id, hash, ticks, findings): the head of each timeline's report."""
+    found = timeline.groupBy("mission_id").agg(F.count_if(F.col("severity") != "ok").alias("findings"))
+    return timeline_hash(timeline).join(found, "mission_id").select("mission_id", F.col("sha256").alias("hash"), "ticks", "findings")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ingest import STREAMS
-from tidemark.sources.streams import PERIODIC, schema
+from tidemark.sources.streams import OPERATIONS, PERIODIC, schema
 
 
 def write_parts(events: DataFrame, root: str, rows_per_part: int = 100_000) -> None:
@@ -27,16 +27,37 @@ def write_manifest(rollup: DataFrame, path: str, head: dict) -> None:
     for r in rollup.orderBy("segment", "stream").collect():
         entry = {"sealed_parts": r.parts, "rows": r.rows, "dropped": 0, "first_cc_ns": r.first, "last_cc_ns": r.last, "seq_gap_total": r.gap_total, "bytes": r.bytes}
         segments.setdefault(r.segment, {"index": len(segments), "dir": r.segment, "closed_wall_unix_ns": 0, "close_reason": "clean", "streams": {}})["streams"][r.stream] = entry
+    _replace(path, head | {"segments": list(segments.values())})
+
+
+def _replace(path: str, found: dict) -> None:
     with open(f"{path}.tmp", "w") as file:
-        json.dump(head | {"segments": list(segments.values())}, file, indent=1)
+        json.dump(found, file, indent=1)
         file.flush()
         os.fsync(file.fileno())
     os.replace(f"{path}.tmp", path)
 
 
-def write_timeline(timeline: DataFrame, path: str) -> None:
-    """One JSON object for each tick, a folder for each mission, in order within a file."""
-    timeline.repartition("mission_id").sortWithinPartitions("mission_id", "tick").write.partitionBy("mission_id").json(path)
+def write_parameters(parameters: DataFrame, path: str, head: dict) -> None:
+    """Write a vehicle's parameters (id, index, type, value; some thousands at most) by index, with how many came of those expected."""
+    found = [r.asDict() for r in parameters.select("id", "index", "type", "value").orderBy("index").collect()]
+    expected = head.get("expected_count", len(found))
+    _replace(path, head | {"expected_count": expected, "received_count": len(found), "complete": len(found) == expected, "params": found})
+
+
+def write_operations(rows: DataFrame, root: str, rows_per_part: int = 256) -> None:
+    """Append rows of the operational log (with a column segment) under root/segment/events, in parts of at most 256 rows."""
+    rows = rows.select("segment", *(F.col(n).cast(t).alias(n) for n, t in OPERATIONS))
+    for (segment,) in rows.select("segment").distinct().collect():  # a few segments a mission
+        part = rows.filter(F.col("segment") == segment).drop("segment")
+        part.write.mode("append").option("maxRecordsPerFile", max(1, min(rows_per_part, 256))).parquet(f"{root}/{segment}/events")
+
+
+def write_timeline(timeline: DataFrame, summary: DataFrame, path: str, findings_only: bool = False) -> None:
+    """Under path/summary one JSON object a mission (``replay.summary``), under path/rows one a tick, a folder a mission, in order within a file."""
+    summary.write.json(f"{path}/summary")
+    rows = timeline.filter("severity <> 'ok'") if findings_only else timeline
+    rows.repartition("mission_id").sortWithinPartitions("mission_id", "tick").write.partitionBy("mission_id").json(f"{path}/rows")
 
 
 def read_scenario(path: str) -> list[tuple[int, str]]:

@@ -6,6 +6,7 @@ import struct
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +62,7 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     rows = head.option("multiLine", True).json(f"{root}/manifest.json").select("*", F.explode_outer("segments").alias("s")).drop("segments")
     rows = rows.select("*", F.explode_outer("s.streams").alias("stream", "e"))
     closed = F.col("s.closed_wall_unix_ns").isNotNull() & F.col("s.close_reason").isNotNull()
-    return rows.select("vehicle_id", "mission_id", "complete", "dialect_hash", "schema_version", F.col("s.dir").alias("segment"), closed.alias("closed"), "stream", "e.*")
+    return rows.select("vehicle_id", "mission_id", "complete", "dialect_hash", "schema_version", F.col("s.dir").alias("segment"), "s.cc_boot_id", "s.px4_boot_id", closed.alias("closed"), "stream", "e.*")
 
 
 def unfinished_mission(manifests: DataFrame) -> DataFrame:
@@ -95,10 +96,20 @@ def raw_frames(files: DataFrame) -> DataFrame:
     return files.select("path", count("content").alias("c")).select("path", "c.frames", "c.torn")
 
 
-def width_ok(column: str, n: int) -> Column:
-    """Whether an array has the width that its schema fixes."""
-    return F.size(column) == n
-
-
-def stream_id(name: str) -> int:
-    return STREAMS[name]
+def raw_captures(spark: SparkSession, root: str) -> DataFrame:
+    """Whole frames of each segment's raw capture, and whether bytes are left over; no row for a segment without one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "raw_*.bin").option("recursiveFileLookup", True).load(root)
+    segment = F.regexp_extract("path", r"/(segment_[^/]*)/", 1)
+    return raw_frames(files).groupBy(segment.alias("segment")).agg(F.sum("frames").alias("frames"), F.bool_or("torn").alias("torn"))
+
+
+def read_operations(spark: SparkSession, root: str, segments: str = "segment_*") -> DataFrame:
+    """The operational log of a mission folder (openings, drops, shed stages), with the segment each row came from; no rows where there is no log."""
+    fields = T.StructType([T.StructField(n, t) for n, t in OPERATIONS])
+    try:
+        df = spark.read.schema(fields).option("pathGlobFilter", "*.parquet").parquet(f"{root}/{segments}/events")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], fields.add("segment", "string"))
+    return df.withColumn("segment", F.regexp_extract(F.col("_metadata.file_path"), r"/(segment_[^/]*)/", 1))

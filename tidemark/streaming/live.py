@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.ingest import STALE_PERIODS
+from tidemark.operators.aggregates import log_health
 from tidemark.operators.scans import Ewma
 from tidemark.sources.shared import folder
 
@@ -83,6 +85,39 @@ def record(rows: DataFrame, path: str, checkpoint: str, partitions: list[str]):
     return rows.writeStream.format("parquet").partitionBy(*partitions).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def tee(rows: DataFrame, path: str, checkpoint: str, branches: dict[str, Callable[[DataFrame], DataFrame]], every: str | None = None):
+    """Start writing several branches of one stream (raw frames, telemetry, clock replies), each to its folder: all that is there now, or a batch ``every`` interval.
+
+    A micro-batch that runs again after a failure replaces what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for name, branch in branches.items():
+                branch(batch).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def observed(operations: DataFrame, name) -> DataFrame:
+    """The operational log with its health counters taken as it is written; ``name``: an Observation, or a name to find in a stream's progress."""
+    return operations.observe(name, *log_health())
+
+
+def status(query) -> str:
+    """What a running stream last did, as JSON: its batch, rows, rates and observed counters."""
+    last = query.lastProgress
+    if last is None:
+        return json.dumps({"id": str(query.id), "active": query.isActive})
+    progress = json.loads(last.json)
+    kept = {k: progress.get(k) for k in ("batchId", "timestamp", "numInputRows", "inputRowsPerSecond", "processedRowsPerSecond", "observedMetrics")}
+    return json.dumps({"id": str(query.id), "active": query.isActive, **kept})
+
+
 def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that its source has now, and read what it wrote. In complete mode each batch replaces the last one's result."""
     spark = rows.sparkSession
