@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import FLAG, FLAG_DEGRADED, FLAG_TIMESYNC, MERGE_RANK, PRIORITY, lookup
@@ -76,19 +76,21 @@ def merge_findings(findings: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def nearest_rank(values: Column, percent: int) -> Column:
-    """The value at place min(n * percent / 100, n - 1) of a sorted array, without interpolation."""
-    n = F.size(values)
-    return F.get(F.array_sort(values), F.least(F.floor(n * percent / 100), n - 1).cast("int"))
+def sectors_visited(df: DataFrame, keys: list[str], sector: Column) -> DataFrame:
+    """How many sectors a key has been in: the bits of an or-ed mask."""
+    return df.groupBy(*keys).agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), sector))).cast("int").alias("sectors"))
 
 
-def upper_median(values: Column) -> Column:
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+def percentiles(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """The values at given places (from 0, as columns over the count ``n``) of each key's sorted values; a long key is sorted, never held in one row."""
+    w = Window.partitionBy(*keys)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), (F.row_number().over(w.orderBy(value)) - 1).alias("nth"), F.count(F.lit(1)).over(w).alias("n"))
+    return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("nth") == place, F.col("x"))).alias(name) for name, place in ranks.items()))
 
 
-def sectors_visited(df: DataFrame, keys: list[str], sector: Column) -> DataFrame:
-    """How many sectors a key has been in: the bits of an or-ed mask."""
-    return df.groupBy(*keys).agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), sector))).cast("int").alias("sectors"))
+def rank_of(percent: int) -> Column:
+    """The place of the nearest rank of a percentile among ``n`` values."""
+    return F.least(F.expr(f"n * {percent} div 100"), F.col("n") - 1)
 
 
 def active_mean(values: Column, n: Column) -> Column:

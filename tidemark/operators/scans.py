@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -314,8 +314,8 @@ def rotation(df: DataFrame, keys, order, boot: str, size: str, time: str, most_b
 
 
 def final_ewma(df: DataFrame, keys: list[str], order: str, value: str, alpha: float) -> DataFrame:
-    """The EWMA mean after a key's last row, without Python: a fold over the sorted values of each key (a bounded key in one row)."""
-    rows = F.array_sort(F.collect_list(F.struct(order, value)))
-    start = F.struct(F.lit(None).cast("double").alias("m"))
-    mean = F.aggregate("rows", start, lambda a, x: F.struct(F.when(a["m"].isNull(), x[value]).otherwise(a["m"] + alpha * (x[value] - a["m"])).alias("m")))
-    return df.filter(~F.isnan(value)).groupBy(*keys).agg(rows.alias("rows")).select(*keys, mean["m"].alias("ewma"))
+    """The EWMA mean after a key's last row, without Python: values weighted by their place from the end, which sorts spill and sums combine."""
+    w = Window.partitionBy(*keys)
+    rows = df.filter(~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("x"), F.row_number().over(w.orderBy(order)).alias("nth"), F.count(F.lit(1)).over(w).alias("n"))
+    weight = F.pow(F.lit(1 - alpha), F.col("n") - F.col("nth")) * F.when(F.col("nth") == 1, 1.0).otherwise(alpha)
+    return rows.groupBy(*keys).agg(F.sum(weight * F.col("x")).alias("ewma"))

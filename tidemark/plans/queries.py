@@ -283,9 +283,9 @@ def warm_up(spark, sf_dir):
     return W.warm(signals(spark, sf_dir), V, T, "t", F.col("value") > 40, 48 * HOUR, 5).select("vehicle", "seq", "warm")
 
 
-@query("SELECT vehicle, arg_min(value, t) AS home, min(t) AS since FROM sig GROUP BY vehicle")
+@query("SELECT vehicle, min({'t': t, 'seq': seq, 'value': value}).value AS home, min(t) AS since FROM sig GROUP BY vehicle")
 def first_values(spark, sf_dir):
-    return signals(spark, sf_dir).groupBy("vehicle").agg(F.min_by("value", "t").alias("home"), F.min("t").alias("since"))
+    return signals(spark, sf_dir).groupBy("vehicle").agg(F.min_by("value", F.struct("t", "seq")).alias("home"), F.min("t").alias("since"))
 
 
 @query(""", n AS (SELECT vehicle, stream, seq, CAST(coalesce(seq - lag(seq) OVER w - 1, 0) AS DOUBLE) AS gap, CAST(CASE WHEN t > lag(t) OVER w THEN t - lag(t) OVER w END AS DOUBLE) AS dt,
@@ -362,8 +362,7 @@ def worst_by_block(spark, sf_dir):
 @query("""SELECT vehicle, l[CAST(least(floor(len(l) * 90 / 100), len(l) - 1) AS INTEGER) + 1] AS p90, l[CAST(floor(len(l) / 2) AS INTEGER) + 1] AS upper_median FROM (
   SELECT vehicle, list(value ORDER BY value) AS l FROM sig GROUP BY 1)""")
 def nearest_rank_percentile(spark, sf_dir):
-    lists = signals(spark, sf_dir).groupBy("vehicle").agg(F.collect_list("value").alias("l"))
-    return lists.select("vehicle", A.nearest_rank(F.col("l"), 90).alias("p90"), A.upper_median(F.col("l")).alias("upper_median"))
+    return A.percentiles(signals(spark, sf_dir), V, "value", {"p90": A.rank_of(90), "upper_median": F.expr("n div 2")})
 
 
 @query("""SELECT vehicle, CAST(bit_count(bit_or(1 << s)) AS INTEGER) AS sectors FROM (
