@@ -45,8 +45,8 @@ def ln(x: Column) -> Column:
 
 
 def logistic(x: Column) -> Column:
-    """1 / (1 + exp(-x)), flat beyond 40 on both sides."""
-    return F.when(x >= 40, 1.0).when(x <= -40, 0.0).otherwise(1 / (1 + F.exp(-x)))
+    """1 / (1 + exp(-x)), flat beyond 40 on both sides; NaN stays NaN."""
+    return F.when(F.isnan(x), x).when(x >= 40, 1.0).when(x <= -40, 0.0).otherwise(1 / (1 + F.exp(-x)))
 
 
 def confidence_percent(x: Column) -> Column:

@@ -120,16 +120,17 @@ class Reception:
 
 
 class MotorOffsets:
-    """Mean offset of each of up to four motors from the average command."""
+    """Mean offset of each of up to four motors from the average command; the largest of the first ``motors``."""
 
     def __init__(self):
         self.offsets = [Ewma(0.005) for _ in range(4)]
 
-    def step(self, outputs):
-        mean = sum(outputs) / len(outputs)
-        for offset, x in zip(self.offsets, outputs):
-            offset.update(x - mean)
-        ready = [o.mean for o in self.offsets[: len(outputs)] if o.n >= 20]
+    def step(self, outputs, motors):
+        if outputs is not None:
+            mean = sum(outputs) / len(outputs)
+            for offset, x in zip(self.offsets, outputs):
+                offset.update(x - mean)
+        ready = [o.mean for o in self.offsets[:motors] if o.n >= 20]
         return (max(ready, key=abs, default=None),)
 
 

@@ -109,12 +109,12 @@ def despiked(df: DataFrame, keys: list[str], order: list[str], value: str) -> Da
 
 
 def gauge_faults(df: DataFrame, keys: list[str], order: list[str], consumed: str, remaining: str) -> DataFrame:
-    """Adds gauge_fault: consumption fell by over 1, or the rest rose by over 0.05, in 32-bit arithmetic."""
+    """Adds gauge_fault: consumption fell by over 1, or the rest rose by over 0.05, in 32-bit arithmetic; NaN on either side is no fault."""
     w = _w(keys, order)
     one, step = F.lit(1.0).cast("float"), F.lit(0.05).cast("float")
     c, r = F.col(consumed).cast("float"), F.col(remaining).cast("float")
-    fell = (c + one).cast("float") < F.lag(c).over(w)
-    rose = r > (F.lag(r).over(w) + step).cast("float")
+    fell = ((c + one).cast("float") < F.lag(c).over(w)) & ~F.isnan(F.lag(c).over(w))
+    rose = (r > (F.lag(r).over(w) + step).cast("float")) & ~F.isnan(r)
     return df.withColumn("gauge_fault", F.coalesce(fell, F.lit(False)) | F.coalesce(rose, F.lit(False)))
 
 

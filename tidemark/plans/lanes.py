@@ -75,7 +75,7 @@ def battery_states(df: DataFrame) -> DataFrame:
     good = ordered_scan(good, KEYS, ORDER, SagAndGrowth, ["i", "residual", "ratio", "loaded"], "i_mean double, i_var double, active boolean, sagged double, grown double")
     v_hover = F.col("ocv") - F.col("i_mean") * F.greatest("r_hat", "r_model")
     one = F.lit(1.0).cast("float")
-    fell = (F.col("consumed_mah") + one).cast("float") < F.col("before.c")
+    fell = ((F.col("consumed_mah") + one).cast("float") < F.col("before.c")) & ~F.isnan("before.c")
     conf = lambda e: S.confidence_percent(S.clamp01(0.7 + 0.3 * S.logistic(e)))
 
     def raised(when, rank, value, limit, confidence):
@@ -135,7 +135,7 @@ def gps_states(df: DataFrame) -> DataFrame:
     rows = rows.withColumn("log_eph", F.when(S.finite(F.col("eph")) & (F.col("eph") > 0), F.log("eph")))
     over = lambda c, most: (F.col(c) > most) & ~F.isnan(c)
     for name, bad in {
-        "fix": F.col("fix_type") < 3, "few": F.col("satellites_used") < 7, "eph_high": over("eph", 3.0), "epv_high": over("epv", 5.0), "diverged": F.coalesce(F.col("apart") > 3.0, F.lit(False)),
+        "fix": F.col("fix_type") < 3, "few": F.col("satellites_used") < 7, "eph_high": over("eph", 3.0), "epv_high": over("epv", 5.0), "diverged": F.coalesce(over("apart", 3.0), F.lit(False)),
     }.items():
         rows = windows.streak(rows, KEYS, ORDER, bad, ~bad, name)
     rows = ordered_scan(rows, KEYS, ORDER, Reception, ["steady", "satellites_used", "log_eph", "noise_per_ms", "jamming_indicator"], "sats_down boolean, eph_drift boolean, noise_z double, jam_z double")
@@ -152,13 +152,14 @@ def motor_states(df: DataFrame) -> DataFrame:
     turned = F.when((F.col("stream_id") == 0) & F.col("steady") & S.finite(heading), F.call_function("shiftleft", F.lit(1), S.heading_sector(heading)))
     rows = df.filter("stream_id in (0, 5)").withColumn("outputs", F.when((F.col("stream_id") == 5) & F.col("steady"), F.transform(F.slice("actuator_output", 1, n), lambda x: x.cast("double"))))
     rows = rows.withColumn("sectors", F.bit_count(F.bit_or(turned).over(_so_far())))
-    rows = rows.filter(F.col("outputs").isNotNull() & F.forall("outputs", S.finite))
+    # A frame with a missing output tells how many motors count, and nothing else.
+    rows = rows.filter(F.col("outputs").isNotNull()).withColumn("motors", F.size("outputs")).withColumn("outputs", F.when(F.forall("outputs", S.finite), F.col("outputs")))
     for i in range(4):
         o = F.get("outputs", F.lit(i))
         rows = windows.streak(rows, KEYS, ORDER, F.coalesce(o >= 0.95, F.lit(False)), F.coalesce(o < 0.95, F.lit(False)), f"full{i}")
-    rows = ordered_scan(rows, KEYS, ORDER, MotorOffsets, ["outputs"], "offset double")
-    full = reduce(lambda a, b: a | b, [(F.col(f"full{i}") >= 20) & (F.size("outputs") > i) for i in range(4)])
-    return _state(rows, "motor", "offset", full.alias("full"), F.coalesce("sectors", F.lit(0)).alias("sectors"), F.count(F.lit(1)).over(_so_far()).alias("samples"))
+    rows = ordered_scan(rows, KEYS, ORDER, MotorOffsets, ["outputs", "motors"], "offset double")
+    full = reduce(lambda a, b: a | b, [(F.col(f"full{i}") >= 20) & (F.col("motors") > i) for i in range(4)])
+    return _state(rows, "motor", "offset", full.alias("full"), F.coalesce("sectors", F.lit(0)).alias("sectors"), F.count("outputs").over(_so_far()).alias("samples"))
 
 
 # --- Link -----------------------------------------------------------------------------------------------------------
@@ -296,7 +297,7 @@ def judged(seen: Column, tick: Column, phase: Column) -> dict[str, Column]:
     pick = lambda *v: F.when(g & (high | drift), v[0]).when(g & tall, v[1]).when(g, v[2]).when(jammed, v[3]).when(noisy, v[4]).otherwise(v[5])
     code = pick(*(F.lit(x) for x in (4003, 4004, 4002, 4005, 4006, 4007)))
     value = pick(c("gps.eph"), c("gps.epv"), c("gps.sats"), c("gps.jam_z"), c("gps.noise_z"), c("gps.apart"))
-    limit = pick(F.when(c("gps.eph") > 6.0, 6.0).otherwise(3.0), F.lit(5.0), F.lit(7.0), F.lit(4.0), F.lit(4.0), F.lit(3.0))
+    limit = pick(F.when((c("gps.eph") > 6.0) & ~F.isnan("gps.eph"), 6.0).otherwise(3.0), F.lit(5.0), F.lit(7.0), F.lit(4.0), F.lit(4.0), F.lit(3.0))
     groups = g.cast("int") + r.cast("int") + d.cast("int")
     out["gps"] = _cases(
         (~fresh(3), stale), (few("gps.samples", 30), warmup), (c("gps.fix") >= 5, _crit(4001, 0.0, 3.0, 95, "hold")), (groups >= 2, _crit(code, value, limit, _pct(0.8 + 0.15 * S.logistic(c("gps.eph") - 3.0)), "hold")),
