@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, lines, mixing, prefixhash, secrets, simhash, substrings, topk, toxicity
+from tidemark.llm import bpe, chat, filteraudit, lines, mixing, prefixhash, secrets, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": prefixhash.op8_fingerprints,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
+    "op11_filter_audit": filteraudit.op11_filter_audit,
 }
 
 #: Operators that aren't here can't be expressed in SQL; their tests hold them against brute force.
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_chat": chat.OP4_SQL,
     "op5_topk": topk.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_filter_audit": filteraudit.OP11_SQL,
 }
