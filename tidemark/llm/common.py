@@ -73,3 +73,12 @@ def text_or_empty(name: str = "text") -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Byte by byte: A-Z to lower case, every other ASCII character but 0-9 and a-z to a space.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def folded_words(text: bytes) -> list[bytes]:
+    """The words of a UTF-8 text: runs of 0-9, a-z and whatever isn't ASCII, A-Z taken as a-z."""
+    return text.translate(FOLD).split()
