@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, filteraudit, importance, lines, mixing, prefixhash, secrets, simhash, substrings, topk, toxicity
+from tidemark.llm import bpe, chat, decontaminate, filteraudit, importance, lines, mixing, prefixhash, secrets, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_filter_audit": filteraudit.op11_filter_audit,
     "op12_importance": importance.op12_importance,
+    "op13_decontaminate": decontaminate.op13_decontaminate,
 }
 
 #: Operators that aren't here can't be expressed in SQL; their tests hold them against brute force.
@@ -26,4 +27,5 @@ ORACLES = {
     "op10_mixing": mixing.OP10_SQL,
     "op11_filter_audit": filteraudit.OP11_SQL,
     "op12_importance": importance.OP12_SQL,
+    "op13_decontaminate": decontaminate.OP13_SQL,
 }
