@@ -34,23 +34,25 @@ class _Block:
         self.texts.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
         self.bytes += len(text)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """(text, n-gram) of each feature, and the words of the n-grams of two and more; n-grams are numbered on from the words."""
+    def grams(self) -> tuple[list[np.ndarray], list[list[int]]]:
+        """The features of each text as numbers of n-grams, and the words of the n-grams of two and more; these are numbered on from the words."""
+        found, longer = list(self.texts), []
+        if self.longest == 1:
+            return found, longer
         sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
-        word = np.concatenate([*self.texts, np.empty(0, np.int32)]).astype(np.int64)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        owners, found, longer = [text], [word], []
-        start, before, first = np.arange(len(word)), word, len(self.words)
+        word = np.concatenate([*self.texts, np.empty(0, np.int32)])
+        end = np.repeat(np.cumsum(sizes), sizes)  # where the text of each word ends
+        start, before, first = np.arange(len(word)), word.astype(np.int64), len(self.words)
         for n in range(2, self.longest + 1):
-            fits = (start + n - 1 < len(word)) & (text[start] == text[np.minimum(start + n - 1, max(len(word) - 1, 0))]) if len(word) else np.zeros(0, bool)
+            fits = start + n <= end[start]
             start, before = start[fits], before[fits]
             _, at, number = np.unique(before << 32 | word[start + n - 1], return_index=True, return_inverse=True)
             longer += [word[start[i] : start[i] + n].tolist() for i in at]
             before = number + first
             first += len(at)
-            owners.append(text[start])
-            found.append(before)
-        return np.concatenate(owners), np.concatenate(found), longer
+            parts = np.split(before.astype(np.int32), np.searchsorted(start, np.cumsum(sizes)[:-1]))
+            found = [np.concatenate(x) for x in zip(found, parts)]
+        return found, longer
 
 
 def _numbered(longest: int):
@@ -59,18 +61,21 @@ def _numbered(longest: int):
 
     def rows(block: _Block, ids: pa.Array, sizes: list[int], number: int) -> Iterator[pa.RecordBatch]:
         kinds = {"block": pa.int64(), "id": ids.type, "n_words": pa.int64(), "grams": ints, "counts": ints, "gram": pa.int32(), "n": pa.int64(), "word": pa.string(), "locals": ints}
-        text, gram, longer = block.grams()
+        found, longer = block.grams()
         n_grams = len(block.words) + len(longer)
-        key, counts = np.unique(text << 32 | gram, return_counts=True)
-        offsets = np.searchsorted(key, np.arange(len(sizes) + 1) << 32)
-        grams, many = pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(counts.astype(np.int32))
-        in_block = np.bincount(gram, minlength=n_grams)
+        in_block, offsets = np.zeros(n_grams, np.int64), np.zeros(len(sizes) + 1, np.int32)
+        for i, features in enumerate(found):
+            found[i] = np.unique(features, return_counts=True)
+            in_block[found[i][0]] += found[i][1]
+            offsets[i + 1] = offsets[i] + len(found[i][0])
+        grams, many = (pa.array(np.concatenate([*(x[k] for x in found), np.empty(0, np.int32)]).astype(np.int32)) for k in (0, 1))
+        del found
 
         def batch(size: int, **columns) -> pa.RecordBatch:
             columns["block"] = pa.array(np.full(size, number, np.int64))
             return pa.RecordBatch.from_pydict({c: columns[c].cast(kind) if c in columns else pa.nulls(size, kind) for c, kind in kinds.items()})
 
-        lists = lambda flat: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)
+        lists = lambda flat: pa.ListArray.from_arrays(pa.array(offsets), flat)
         yield batch(len(sizes), id=ids, n_words=pa.array(sizes, pa.int64()), grams=lists(grams), counts=lists(many))
         words, tuples = [w.decode() for w in block.words] + [None] * len(longer), [None] * len(block.words) + longer
         for at in range(0, n_grams, 65536):
