@@ -75,6 +75,7 @@ def audit(docs: DataFrame, labels: DataFrame, more: dict[str, Column] | None = N
     bits = reduce(Column.bitwiseOR, (F.when(F.coalesce(c, F.lit(False)), 1 << letters.index(x)).otherwise(0) for x, c in of_text.items()))
     seen = stored(bare.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), bits.cast("int").alias("flags"), F.sha2("text", 256).alias("digest")), "filter-flags")
     least = seen.groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    least = stored(least, "least-copies")  # read back, both sides of the join are shuffled for it alone, and Spark may split a text of very many copies
     judged = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     with_labels = seen.join(judged, F.col("doc_id") == F.col("labelled"), "left").join(least, F.col("digest") == F.col("d"), "left")
     copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
