@@ -108,7 +108,7 @@ def test_raw_captures(spark, tmp_path):
     frame = lambda b: len(b).to_bytes(4, "little") + b
     (tmp_path / "a.bin").write_bytes(frame(b"abc") + frame(b""))
     (tmp_path / "b.bin").write_bytes(frame(b"abc") + b"\x09\x00")
-    got = {r.path.rpartition("/")[2]: (r.frames, r.torn) for r in streams.raw_frames(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    got = {r.path.rpartition("/")[2]: (r.frames, r.torn) for r in streams.raw_frames(spark, str(tmp_path)).collect()}
     assert got == {"a.bin": (2, False), "b.bin": (1, True)}
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import integrity, traces
@@ -20,22 +21,91 @@ def test_checksum_of_the_standard_text():
     assert frames.checksum(b"12345678", ord("9")) == 0x6F91
 
 
-def test_frames_are_found_between_noise_and_every_byte_is_counted(spark, tmp_path):
-    rnd = random.Random(1)
-    good = [frame(54000, bytes(rnd.randrange(256) for _ in range(rnd.randrange(40))), i) for i in range(30)]
-    noise = lambda: bytes(rnd.randrange(0xFC) for _ in range(rnd.randrange(6)))
-    broken = bytearray(good[3])
-    broken[-1] ^= 1
-    unknown = frame(77, b"abc", extra=5)
-    (tmp_path / "a").write_bytes(b"".join(noise() + g for g in good) + bytes(broken) + unknown + good[0][:5])
-    (tmp_path / "b").write_bytes(b"")
-    (tmp_path / "c").write_bytes(bytes(rnd.randrange(256) for _ in range(5000)))
-    files = spark.read.format("binaryFile").load(str(tmp_path))
-    got = frames.decode(files, EXTRAS).filter("path like '%/a'").orderBy("offset").collect()
-    assert [r.sequence for r in got] == list(range(30)) and {(r.message, r.system, r.component) for r in got} == {(54000, 3, 1)}
-    rows = {r.path[-1]: r for r in frames.accounts(files, EXTRAS).collect()}
-    assert all(r.balanced for r in rows.values()) and set(rows) == {"a", "c"}  # the source leaves empty files out
-    assert rows["a"].ok == sum(map(len, good)) and rows["a"].pending == 5
+def bitwise(data, extra):
+    crc = 0xFFFF
+    for byte in (*data, extra):
+        crc ^= byte
+        for _ in range(8):
+            crc = crc >> 1 ^ 0x8408 if crc & 1 else crc >> 1
+    return crc
+
+
+def sequential(data):
+    """A reader that takes a whole capture byte by byte: frames, and the account."""
+    out, n, at = [], dict.fromkeys(["ok", "unknown", "garbage", "frames_ok", "unknown_frames", "bad_flags", "bad_checks", "suspects"], 0), 0
+    while at < len(data):
+        left, fault = len(data) - at, None
+        if data[at] in (0xFD, 0xFE):
+            head = 10 if data[at] == 0xFD else 6
+            if left < head:
+                break
+            flags = data[at + 2] if head == 10 else 0
+            size = head + data[at + 1] + 2 + 13 * (flags & 1)
+            if flags > 1:
+                fault = "bad_flags"
+            elif left < size:
+                break
+            else:
+                message = int.from_bytes(data[at + 7 : at + 10], "little") if head == 10 else data[at + 5]
+                end = at + head + data[at + 1]
+                if message not in EXTRAS:
+                    if at + size == len(data) or data[at + size] in (0xFD, 0xFE):
+                        n["unknown"] += size
+                        n["unknown_frames"] += 1
+                        at += size
+                        continue
+                    fault = "suspects"
+                elif bitwise(data[at + 1 : end], EXTRAS[message]) == int.from_bytes(data[end : end + 2], "little"):
+                    i = at + (4 if head == 10 else 2)
+                    out.append((at, message, data[i + 1], data[i + 2], data[i], data[at + head : end]))
+                    n["ok"] += size
+                    n["frames_ok"] += 1
+                    at += size
+                    continue
+                else:
+                    fault = "bad_checks"
+        if fault:
+            n[fault] += 1
+        n["garbage"] += 1
+        at += 1
+    return out, n | {"pending": len(data) - at}
+
+
+def captures(rnd):
+    v1 = lambda body: b"\xfe" + body + bitwise(body, EXTRAS[30]).to_bytes(2, "little")
+    good = [frame(54000, rnd.randbytes(rnd.randrange(256)), i % 256) for i in range(60)] + [v1(bytes([5, i, 1, 2, 30]) + rnd.randbytes(5)) for i in range(20)]
+    inner = frame(54000, frame(54000, b"abc", 7) + b"\xfd" * 9 + frame(30, b"x"), 8)  # frames within the payload of a frame
+    pieces = [*good, inner, inner[:-1] + b"?", frame(77, b"abc", extra=5), frame(77, b"\xfe\xfd", extra=5) + b"\x00", b"\xfd\x03\x08\x00", rnd.randbytes(40), b"\xfd" * 300, b"", b"\x00" * 700]
+    mixed = [rnd.choice(pieces) + rnd.choice([b"", b"\xfe", rnd.randbytes(3)]) for _ in range(120)]
+    return {"clean": b"".join(good), "mixed": b"".join(mixed), "noise": rnd.randbytes(6000), "starts": b"\xfd\xfe" * 900, "short": good[0][:9], "one": b"\xfe", "tail": b"".join(good[:9]) + good[9][:-1], "none": b"\x01" * 2000}
+
+
+@pytest.mark.parametrize("size", [16, 333, 4096, 1 << 20])
+def test_frames_and_accounts_are_the_same_for_every_size_of_range(spark, tmp_path, size):
+    made = captures(random.Random(size))
+    if size == 16:
+        made = {k: v[:1500] for k, v in made.items()}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "empty").write_bytes(b"")
+    found, accounts = frames.decode(spark, str(tmp_path), EXTRAS, size=size)
+    got = {}
+    for r in found.orderBy("path", "offset").collect():
+        got.setdefault(r.path.rpartition("/")[2], []).append((r.offset, r.message, r.system, r.component, r.sequence, bytes(r.payload)))
+    rows = {r.path.rpartition("/")[2]: r.asDict() for r in accounts.collect()}
+    assert set(rows) == set(made) and all(r["balanced"] for r in rows.values())
+    for name, data in made.items():
+        want, account = sequential(data)
+        assert got.get(name, []) == want, name
+        assert {k: rows[name][k] for k in account} == account, name
+
+
+def test_many_checks_at_once_equal_each_by_itself():
+    rnd = random.Random(2)
+    data = rnd.randbytes(3000)
+    begins, lengths, extras = ([rnd.randrange(n) for _ in range(200)] for n in (2700, 270, 256))
+    got = frames.checksums(frames.np.frombuffer(data, frames.np.uint8), *map(frames.np.array, (begins, lengths, extras)))
+    assert got.tolist() == [bitwise(data[b : b + n], x) for b, n, x in zip(begins, lengths, extras)]
 
 
 def test_parts_and_manifest_written_are_clean_when_inspected(spark, tmp_path):

@@ -1,90 +1,191 @@
-"""Binary link captures: finding the frames in byte streams, with every byte accounted for."""
+"""Binary link captures: finding the frames in byte streams of any length, with every byte accounted for.
+
+A frame may begin at any byte, so a range can't know by itself where it is entered. Each range tells what it finds from every place where the range before may leave
+it; which of these were right follows by stitching (``stitch.entered``). Frames and accounts come from that one pass.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Fixed values of the wire format: start bytes, header lengths, the flag of signed frames and their signature's length.
-START_V1, START_V2, HEADER_V1, HEADER_V2, SIGNED, SIGNATURE = 0xFE, 0xFD, 6, 10, 0x01, 13
-_BUCKETS = ["ok", "unknown", "garbage", "pending"]
+from tidemark.sources.captures import RANGE, byte_ranges
+from tidemark.sources.shared import stored
+from tidemark.sources.stitch import entered
 
+#: Fixed values of the wire format: start bytes, header lengths, the flag of signed frames and their signature's length, the check's reversed polynomial.
+START_V1, START_V2, HEADER_V1, HEADER_V2, SIGNED, SIGNATURE, POLYNOMIAL = 0xFE, 0xFD, 6, 10, 0x01, 13, 0x8408
+LONGEST = HEADER_V2 + 255 + 2 + SIGNATURE
+#: What a chain adds up, besides bytes of garbage: bytes and numbers of valid and of unknown frames, and start bytes that began none, by why.
+SUMS = ["ok", "unknown", "frames_ok", "unknown_frames", "bad_flags", "bad_checks", "suspects"]
 
-def checksum(data: bytes, extra: int) -> int:
-    """CRC-16/MCRF4XX over the bytes and one extra byte of the message's definition."""
-    crc = 0xFFFF
-    for byte in (*data, extra):
-        x = (byte ^ crc) & 0xFF
-        x = (x ^ (x << 4)) & 0xFF
-        crc = (crc >> 8) ^ (x << 8) ^ (x << 3) ^ (x >> 4)
-    return crc
 
+def _remainders() -> np.ndarray:
+    """What each byte does to the check, bit by bit."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ POLYNOMIAL, table >> 1)
+    return table
 
-def scan(data: bytes, extras: dict[int, int]) -> tuple[list[tuple], dict[str, int]]:
-    """The valid frames (offset, message, system, component, sequence, payload) and how many bytes are in each bucket.
 
-    Reading resumes at the byte after a start byte whose frame fails; a well-delimited frame of an unknown message is passed over whole.
-    """
-    frames, used, at, n = [], dict.fromkeys(_BUCKETS, 0), 0, len(data)
-    while at < n:
-        if data[at] not in (START_V1, START_V2):
-            used["garbage"] += 1
-            at += 1
-            continue
-        second = data[at] == START_V2
-        header = HEADER_V2 if second else HEADER_V1
-        if n - at < header:
-            break
-        signed = second and data[at + 2] & SIGNED
-        if second and data[at + 2] & ~SIGNED & 0xFF:
-            used["garbage"] += 1
-            at += 1
-            continue
-        size = header + data[at + 1] + 2 + (SIGNATURE if signed else 0)
-        if n - at < size:
-            break
-        end = at + header + data[at + 1]
-        message = int.from_bytes(data[at + 7 : at + 10], "little") if second else data[at + 5]
-        whole = at + size == n or data[at + size] in (START_V1, START_V2)
-        if message in extras and checksum(data[at + 1 : end], extras[message]) == int.from_bytes(data[end : end + 2], "little"):
-            sequence, system, component = (data[at + 4], data[at + 5], data[at + 6]) if second else (data[at + 2], data[at + 3], data[at + 4])
-            frames.append((at, message, system, component, sequence, data[at + header : end]))
-            used["ok"] += size
-            at += size
-        elif message not in extras and whole:
-            used["unknown"] += size
-            at += size
-        else:
-            used["garbage"] += 1
-            at += 1
-    used["pending"] = n - at
-    return frames, used
-
-
-def _map(files: DataFrame, schema: str, rows) -> DataFrame:
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
-
-    def run(batches):
-        for batch in batches:
-            found = [r for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()) for r in rows(path, data or b"")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found) if found else [[]] * len(arrow), arrow)], schema=arrow)
+_TABLE = _remainders()
 
-    return files.select("path", "content").mapInArrow(run, schema)
 
+def checksums(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, extras: np.ndarray) -> np.ndarray:
+    """CRC-16/MCRF4XX of many runs of bytes, each followed by one extra byte of its message's definition; all runs take their next byte at once."""
+    order = np.argsort(-lengths, kind="stable")
+    begins, ends, crc = begins[order], np.sort(lengths), np.full(len(order), 0xFFFF, np.uint32)
+    for i in range(int(lengths.max(initial=0))):
+        n = len(ends) - int(np.searchsorted(ends, i, "right"))  # runs longer than i
+        crc[:n] = crc[:n] >> 8 ^ _TABLE[(crc[:n] ^ data[begins[:n] + i]) & 0xFF]
+    crc = crc >> 8 ^ _TABLE[(crc ^ extras[order]) & 0xFF]
+    out = np.empty_like(crc)
+    out[order] = crc
+    return out
 
-def decode(files: DataFrame, extras: dict[int, int]) -> DataFrame:
-    """``files`` (path, content, as of Spark's binaryFile source) -> one row for each valid frame. ``extras``: message id -> its extra byte."""
-    return _map(
-        files, "path string, offset long, message long, system int, component int, sequence int, payload binary", lambda path, data: ((path, *f) for f in scan(data, extras)[0])
-    )
 
+def checksum(data: bytes, extra: int) -> int:
+    """The check of one run of bytes."""
+    return int(checksums(np.frombuffer(data, np.uint8), np.zeros(1, int), np.array([len(data)]), np.array([extra]))[0])
+
+
+class _Range:
+    """All that may be a frame in the first ``left`` bytes of ``data``; ``rest`` bytes are left of the file from there."""
+
+    def __init__(self, data: bytes, left: int, rest: int, extras: dict[int, int]):
+        self.left = left
+        bytes_ = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(LONGEST + 2, np.uint8)])
+        start = (bytes_ == START_V1) | (bytes_ == START_V2)
+        self.at = at = np.flatnonzero(start[:left])
+        second = bytes_[at] == START_V2
+        self.head = head = np.where(second, HEADER_V2, HEADER_V1)
+        self.payload = payload = bytes_[at + 1].astype(np.int64)
+        flags = np.where(second, bytes_[at + 2], 0).astype(np.int64)
+        wide = bytes_[at + 7].astype(np.int64) | bytes_[at + 8].astype(np.int64) << 8 | bytes_[at + 9].astype(np.int64) << 16
+        self.message = np.where(second, wide, bytes_[at + 5])
+        size = head + payload + 2 + np.where(flags & SIGNED, SIGNATURE, 0)
+        bad = (rest - at >= head) & (flags & ~SIGNED != 0)
+        self.pending = (rest - at < head) | ~bad & (rest - at < size)
+        whole = ~bad & ~self.pending
+        ids = np.array(sorted(extras), np.int64)
+        known = whole & np.isin(self.message, ids)
+        i = np.flatnonzero(known)
+        extra = np.array([extras[k] for k in ids.tolist()], np.uint32)[np.searchsorted(ids, self.message[i])] if len(i) else np.zeros(0, np.uint32)
+        end = at[i] + head[i] + payload[i]
+        self.ok = np.zeros(len(at), bool)
+        self.ok[i] = checksums(bytes_, at[i] + 1, head[i] - 1 + payload[i], extra) == bytes_[end].astype(np.uint32) | bytes_[end + 1].astype(np.uint32) << 8
+        ends = (at + size == rest) | start[np.minimum(at + size, len(bytes_) - 1)]
+        unknown = whole & ~known & ends
+        self.step = np.where(self.ok | unknown, size, 1)
+        n = len(at)
+        self.next = np.where(self.pending, n, np.searchsorted(at, at + self.step))
+        one = np.ones(n, np.int64)
+        self.sums = np.array([size * self.ok, size * unknown, one * self.ok, one * unknown, one * bad, one * (known & ~self.ok), one * (whole & ~known & ~unknown)]).T.reshape(n, len(SUMS))
+        self.bytes = bytes_
+
+    def chains(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the chain from each start byte: its sums and the last start byte it comes to, by doubling jumps."""
+        n, jump, sums, last = len(self.at), self.next.copy(), self.sums.copy(), np.arange(len(self.at))
+        while (on := np.flatnonzero(jump < n)).size:
+            to = jump[on]
+            sums[on], last[on], jump[on] = sums[on] + sums[to], last[to], jump[to]
+        return sums, last
+
+    def entries(self, most: int) -> Iterator[tuple]:
+        """(low, high, until, pending, sums) for entries that come to the same start byte first; ``until``: where the chain leaves the range, or what is pending begins."""
+        sums, last = self.chains()
+        first = np.searchsorted(self.at, np.arange(most))
+        for node in np.unique(first).tolist():
+            low, high = np.searchsorted(first, node), np.searchsorted(first, node, "right") - 1
+            if node == len(self.at):
+                yield int(low), int(high), self.left, False, [0] * len(SUMS)
+                continue
+            end = last[node]
+            until = self.at[end] if self.pending[end] else max(self.at[end] + self.step[end], self.left)
+            yield int(low), int(high), int(until), bool(self.pending[end]), sums[node].tolist()
+
+    def frames(self, lows: dict[int, int]) -> Iterator[tuple]:
+        """(offset, message, system, component, sequence, payload, entries) of each valid frame that is on a chain; entries: None where it is on all.
+
+        lows: first start byte of a chain -> the entry that names it.
+        """
+        on, every = [0] * (len(self.at) + 1), (1 << len(lows)) - 1
+        for bit, node in enumerate(lows):
+            on[node] |= 1 << bit
+        names, next_ = list(lows.values()), self.next.tolist()
+        for i, valid in enumerate(self.ok.tolist()):
+            if not on[i]:
+                continue
+            on[next_[i]] |= on[i]
+            if valid:
+                at, head = int(self.at[i]), int(self.head[i])
+                field = 4 if head == HEADER_V2 else 2
+                sequence, system, component = self.bytes[at + field : at + field + 3].tolist()
+                payload = self.bytes[at + head : at + head + int(self.payload[i])].tobytes()
+                yield at, int(self.message[i]), system, component, sequence, payload, None if on[i] == every else [x for b, x in enumerate(names) if on[i] >> b & 1]
+
+
+_MAPS = "path string, range long, low long, high long, leaves long, into long, until long, size long, " + ", ".join(f"{s} long" for s in SUMS)
+_FRAMES = "offset long, message long, system int, component int, sequence int, payload binary, entries array<long>"
+
+
+def _parsed(extras: dict[int, int], size: int):
+    kinds = {"path": pa.string(), **dict.fromkeys(["range", "low", "high", "leaves", "into", "until", "size", *SUMS, "offset", "message"], pa.int64())}
+    kinds |= dict.fromkeys(["system", "component", "sequence"], pa.int32()) | {"payload": pa.binary(), "entries": pa.list_(pa.int64())}
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, number, at, total, data in zip(*(batch.column(c).to_pylist() for c in ("path", "range", "at", "size", "data"))):
+                left = min(size, total - at)
+                found = _Range(data, left, total - at, extras)
+                rows, lows = [], {}
+                for low, high, until, pending, sums in found.entries(min(left, LONGEST) if number else 1):
+                    lows.setdefault(int(np.searchsorted(found.at, low)), low)
+                    over = pending or at + until >= total
+                    rows.append((path, number, low, high, None if over else (at + until) % size, None if over else (at + until) // size, at + until, total, *sums, *[None] * 7))
+                for offset, *rest in found.frames(lows):
+                    rows.append((path, number, *[None] * (6 + len(SUMS)), at + offset, *rest))
+                yield pa.RecordBatch.from_pydict({c: pa.array(list(v), kind) for (c, kind), v in zip(kinds.items(), zip(*rows))})
+
+    return parse
+
+
+def decode(spark: SparkSession, path: str, extras: dict[int, int], pattern: str = "*", size: int = RANGE) -> tuple[DataFrame, DataFrame]:
+    """The captures under a path -> the valid frames, and the account of each file. ``extras``: message id -> the extra byte of its check.
+
+    Frames: path, offset, message, system, component, sequence, payload. Accounts: path, bytes, those in valid and unknown frames, garbage and pending, ``balanced`` (they
+    add up), numbers of frames, and start bytes that began none: unknown flags, failed checks, unknown messages that no start byte follows. Reading resumes at the byte
+    after a start byte whose frame fails; a well-delimited frame of an unknown message is passed over whole. An empty file has no row.
+    """
+    seen = stored(byte_ranges(spark, path, pattern, size, LONGEST + 1).mapInArrow(_parsed(extras, size), f"{_MAPS}, {_FRAMES}"), "frames")
+    maps = seen.filter("low is not null")
+    way = stored(entered(maps.select("path", "range", "low", "high", "leaves", "into")), "frame-ways")
+    used = way.select("path", "range", F.col("low").alias("by"))
+    frames = seen.filter("offset is not null").join(used, ["path", "range"]).filter("entries is null or array_contains(entries, by)")
+    own = maps.join(way, ["path", "range", "low"]).withColumn("garbage", F.col("until") - F.col("range") * size - F.col("entry") - F.col("ok") - F.col("unknown"))
+    accounts = own.groupBy("path").agg(F.first("size").alias("bytes"), *(F.sum(c).alias(c) for c in [*SUMS[:2], "garbage"]), (F.first("size") - F.max("until")).alias("pending"), *(F.sum(c).alias(c) for c in SUMS[2:]))
+    balanced = F.col("bytes") == F.col("ok") + F.col("unknown") + F.col("garbage") + F.col("pending")
+    return frames.select("path", "offset", "message", "system", "component", "sequence", "payload"), accounts.withColumn("balanced", balanced)
+
+
+def encode(rows: DataFrame, extras: dict[int, int], others: int = 0) -> DataFrame:
+    """Rows with message, system, component, sequence (modulo 256) and payload (255 bytes at most) -> the same with ``record``, the frame of each.
 
-def accounts(files: DataFrame, extras: dict[int, int]) -> DataFrame:
-    """Bytes of each file by bucket; ``balanced``: they add up to the file's size."""
-    columns = ", ".join(f"{b} long" for b in _BUCKETS)
-    df = _map(files, f"path string, bytes long, {columns}", lambda path, data: [(path, len(data), *scan(data, extras)[1].values())])
-    return df.withColumn("balanced", F.col("bytes") == sum((F.col(b) for b in _BUCKETS[1:]), F.col(_BUCKETS[0])))
+    A message that ``extras`` doesn't have is checked with ``others``; null payloads are empty.
+    """
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("message", "system", "component", "sequence", "payload")]
+            bodies = [bytes([len(p or b""), 0, 0, q % 256, s, c]) + m.to_bytes(3, "little") + (p or b"") for m, s, c, q, p in zip(*columns)]
+            lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
+            checks = checksums(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lengths) - lengths, lengths, np.array([extras.get(m, others) for m in columns[0]], np.uint32))
+            made = [bytes([START_V2]) + b + k.to_bytes(2, "little") for b, k in zip(bodies, checks.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "record"])
+
+    return rows.mapInArrow(frames, T.StructType([*rows.schema, T.StructField("record", T.BinaryType())]))

@@ -5,13 +5,16 @@ from __future__ import annotations
 import struct
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ingest import STREAMS
+from tidemark.sources.captures import RANGE, byte_ranges
+from tidemark.sources.shared import stored
+from tidemark.sources.stitch import entered
 
 _F3, _F4, _F8 = (T.ArrayType(T.FloatType()) for _ in range(3))
 _L, _I, _S, _F = T.LongType(), T.IntegerType(), T.ShortType(), T.FloatType()
@@ -77,34 +80,75 @@ def in_progress(spark: SparkSession, root: str) -> DataFrame:
     return files.select(segment.alias("segment")).groupBy("segment").agg(F.count("*").alias("parts"))
 
 
-def raw_frames(files: DataFrame) -> DataFrame:
-    """``files`` (path, content) of length-prefixed captures -> path, frames, torn: frames that are whole, and whether bytes are left over.
-
-    A capture is one file of bounded size (the recorder rotates it).
+def _prefix_maps(size: int, longest: int):
+    """Ranges -> (path, range, low, high, leaves, into, frames, end): for each entry, how many records begin in the range and where the chain leaves it, or ends
+    (``end``: the place after the last whole record)."""
+
+    def walk(data: bytes, at: int, left: int, whole: int, known: dict[int, tuple]) -> tuple:
+        """Where the chain from ``at`` gets, with frames counted; every place on the way is remembered."""
+        way = []
+        while at not in known:
+            if at >= left:
+                known[at] = (at, 0, None)
+            elif at + 4 > whole or at + 4 + (n := struct.unpack_from("<I", data, at)[0]) > whole:
+                known[at] = (None, 0, at)
+            else:
+                way.append(at)
+                at += 4 + n
+        leaves, frames, end = known[at]
+        for back in reversed(way):
+            frames += 1
+            known[back] = (leaves, frames, end)
+        return leaves, frames, end
+
+    def maps(batches):
+        for batch in batches:
+            out = []
+            asked = batch.column("asked").to_pylist() if "asked" in batch.schema.names else [None] * batch.num_rows
+            for path, number, at, total, data, more in zip(*(batch.column(c).to_pylist() for c in ("path", "range", "at", "size", "data")), asked):
+                left, whole, known = min(size, total - at), total - at, {}
+                entries = range(min(left, longest + 4 if number else 1)) if more is None else more
+                for e in entries:
+                    leaves, frames, end = walk(data, e, left, whole, known)
+                    over = leaves is not None and at + leaves >= total
+                    out.append((path, number, e, e, None if leaves is None or over else (at + leaves) % size, None if leaves is None or over else (at + leaves) // size, frames, total if over else None if end is None else at + end))
+            columns = list(zip(*out)) or [()] * 8
+            names = ["path", "range", "low", "high", "leaves", "into", "frames", "end"]
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.string() if n == "path" else pa.int64()) for n, c in zip(names, columns)})
+
+    return maps
+
+
+def raw_frames(spark: SparkSession, path: str, pattern: str = "*", size: int = RANGE, longest: int = 508) -> DataFrame:
+    """Length-prefixed captures under a path -> path, frames, bytes, torn: records that are whole, their bytes with prefixes, and whether bytes are left over.
+
+    Ranges of ``size`` bytes are walked apart from one another, each from all entries that a record of up to ``longest`` bytes may lead to, and then stitched;
+    a longer record costs one more round for its file, which walks only the range it leads to. Empty files have no row.
     """
-
-    @F.pandas_udf("frames long, torn boolean")
-    def count(content: pd.Series) -> pd.DataFrame:
-        out = []
-        for data in content:
-            at = n = 0
-            while at + 4 <= len(data) and at + 4 + (size := struct.unpack_from("<I", data, at)[0]) <= len(data):
-                at, n = at + 4 + size, n + 1
-            out.append((n, at < len(data)))
-        return pd.DataFrame(out, columns=["frames", "torn"])
-
-    return files.select("path", count("content").alias("c")).select("path", "c.frames", "c.torn")
+    ranges = byte_ranges(spark, path, pattern, size, 4)
+    kinds = "path string, range long, low long, high long, leaves long, into long, frames long, end long"
+    maps = stored(ranges.mapInArrow(_prefix_maps(size, longest), kinds), "record-maps")
+    while True:
+        way = stored(entered(maps), "record-way")
+        own = maps.join(way.select("path", "range", "low"), ["path", "range", "low"])
+        known = maps.select("path", F.col("range").alias("into"), F.col("low").alias("leaves"))
+        asked = own.filter("into is not null").join(known, ["path", "into", "leaves"], "left_anti").groupBy("path", F.col("into").alias("range")).agg(F.collect_set("leaves").alias("asked"))  # one entry a file
+        asked = stored(asked, "record-asked")
+        if asked.isEmpty():
+            return own.groupBy("path").agg(F.sum("frames").alias("frames"), F.max("end").alias("bytes")).join(ranges.select("path", "size").distinct(), "path").select("path", "frames", "bytes", (F.col("bytes") < F.col("size")).alias("torn"))
+        more = ranges.join(F.broadcast(asked), ["path", "range"]).mapInArrow(_prefix_maps(size, longest), kinds)
+        maps = stored(maps.unionByName(more), "record-maps")
 
 
 def stream_id(name: str) -> int:
     return STREAMS[name]
 
 
-def raw_captures(spark: SparkSession, root: str) -> DataFrame:
-    """Whole frames of each segment's raw capture, and whether bytes are left over; no row for a segment without one."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "raw_*.bin").option("recursiveFileLookup", True).load(root)
+def raw_captures(spark: SparkSession, root: str, size: int = RANGE) -> DataFrame:
+    """Whole frames of each segment's raw captures, their bytes, and whether bytes are left over; no row for a segment without one."""
     segment = F.regexp_extract("path", r"/(segment_[^/]*)/", 1)
-    return raw_frames(files).groupBy(segment.alias("segment")).agg(F.sum("frames").alias("frames"), F.bool_or("torn").alias("torn"))
+    found = raw_frames(spark, root, "raw_*.bin", size)
+    return found.groupBy(segment.alias("segment")).agg(F.sum("frames").alias("frames"), F.sum("bytes").alias("bytes"), F.bool_or("torn").alias("torn"))
 
 
 def read_operations(spark: SparkSession, root: str, segments: str = "segment_*") -> DataFrame:
