@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import folded_words, stored, table, text_or_empty
+from tidemark.llm.common import folded_words, small_batches, stored, table, text_or_empty
 
 #: Words in a feature at most, buckets of features, words of a document that may be drawn, percent drawn, and the seed of the noise.
 LONGEST, BUCKETS, LEAST_WORDS, PERCENT, SEED = 1, 10000, 20, 10, 2024
@@ -32,7 +33,7 @@ class _Block:
     def add(self, text: bytes) -> None:
         words = folded_words(text)
         self.texts.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
-        self.bytes += len(text)
+        self.bytes += len(text) + 64  # texts without words count too
 
     def grams(self) -> tuple[list[np.ndarray], list[list[int]]]:
         """The features of each text as numbers of n-grams, and the words of the n-grams of two and more; these are numbered on from the words."""
@@ -62,38 +63,47 @@ def _numbered(longest: int):
     def rows(block: _Block, ids: pa.Array, sizes: list[int], number: int) -> Iterator[pa.RecordBatch]:
         kinds = {"block": pa.int64(), "id": ids.type, "n_words": pa.int64(), "grams": ints, "counts": ints, "gram": pa.int32(), "n": pa.int64(), "word": pa.string(), "locals": ints}
         found, longer = block.grams()
+        block.texts.clear()
         n_grams = len(block.words) + len(longer)
         in_block, offsets = np.zeros(n_grams, np.int64), np.zeros(len(sizes) + 1, np.int32)
         for i, features in enumerate(found):
-            found[i] = np.unique(features, return_counts=True)
-            in_block[found[i][0]] += found[i][1]
-            offsets[i + 1] = offsets[i] + len(found[i][0])
-        grams, many = (pa.array(np.concatenate([*(x[k] for x in found), np.empty(0, np.int32)]).astype(np.int32)) for k in (0, 1))
-        del found
+            own, many = np.unique(features, return_counts=True)
+            in_block[own] += many
+            found[i] = own, many.astype(np.int32)
+            offsets[i + 1] = offsets[i] + len(own)
 
         def batch(size: int, **columns) -> pa.RecordBatch:
             columns["block"] = pa.array(np.full(size, number, np.int64))
             return pa.RecordBatch.from_pydict({c: columns[c].cast(kind) if c in columns else pa.nulls(size, kind) for c, kind in kinds.items()})
 
-        lists = lambda flat: pa.ListArray.from_arrays(pa.array(offsets), flat)
-        yield batch(len(sizes), id=ids, n_words=pa.array(sizes, pa.int64()), grams=lists(grams), counts=lists(many))
-        words, tuples = [w.decode() for w in block.words] + [None] * len(longer), [None] * len(block.words) + longer
+        for at in range(0, len(sizes), 1000):
+            part = found[at : at + 1000]
+            grams, many = (pa.ListArray.from_arrays(pa.array(offsets[at : at + len(part) + 1] - offsets[at]), pa.array(np.concatenate([x[k] for x in part]))) for k in (0, 1))
+            yield batch(len(part), id=ids.slice(at, len(part)), n_words=pa.array(sizes[at : at + len(part)], pa.int64()), grams=grams, counts=many)
+        words = iter(block.words)
         for at in range(0, n_grams, 65536):
             end = min(at + 65536, n_grams)
+            named = [w.decode() for w in islice(words, end - at)]
+            tuples = [None] * len(named) + longer[max(at - len(block.words), 0) : max(end - len(block.words), 0)]
             yield batch(
                 end - at, gram=pa.array(np.arange(at, end, dtype=np.int32)), n=pa.array(in_block[at:end]),
-                word=pa.array(words[at:end], pa.string()), locals=pa.array(tuples[at:end], ints),
+                word=pa.array(named + [None] * (end - at - len(named)), pa.string()), locals=pa.array(tuples, ints),
             )
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, block, ids = TaskContext.get().partitionId() << 32, _Block(longest), []
         for batch in batches:
-            ids, texts, begin, block = batch.column(0), batch.column(1), 0, _Block(longest)
-            for i, text in enumerate(texts):
+            begin = 0
+            for i, text in enumerate(batch.column(1)):
                 block.add(text.as_py())
-                if block.bytes >= BLOCK_BYTES or i + 1 == len(texts):
-                    yield from rows(block, ids.slice(begin, i + 1 - begin), [len(t) for t in block.texts], number)
-                    begin, number, block = i + 1, number + 1, _Block(longest)
+                if block.bytes >= BLOCK_BYTES:
+                    ids.append(batch.column(0).slice(begin, i + 1 - begin))
+                    yield from rows(block, pa.concat_arrays(ids), [len(t) for t in block.texts], number)
+                    begin, number, block, ids = i + 1, number + 1, _Block(longest), []
+            if begin < batch.num_rows:
+                ids.append(batch.column(0).slice(begin))
+        if ids:
+            yield from rows(block, pa.concat_arrays(ids), [len(t) for t in block.texts], number)
 
     return numbered
 
@@ -109,7 +119,8 @@ def numbered(texts: DataFrame, longest: int, name: str) -> DataFrame:
         ]
     )
     bare = texts.select("id", text_or_empty().cast("binary").alias("text"))
-    return stored(bare.mapInArrow(_numbered(longest), schema), name)
+    with small_batches(texts.sparkSession):
+        return stored(bare.mapInArrow(_numbered(longest), schema), name)
 
 
 def as_tuples(blocks: DataFrame, dictionary: DataFrame, longest: int) -> DataFrame:
