@@ -132,3 +132,19 @@ def test_conclusions(findings, expected):
     assert found.keys() == wanted.keys()
     wrong = {k: (found[k], wanted[k]) for k in wanted if not same(wanted[k], found[k])}
     assert not wrong, (len(wrong), sorted(wrong.items())[:4])
+
+
+def test_missions_of_the_events_table(spark, tmp_path):
+    """The replay queries' own missions, whole, against the interpreter."""
+    from tidemark.plans.adapters import missions
+
+    missions(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "m"))
+    events = spark.read.parquet(str(tmp_path / "m"))
+    rows = {}
+    for r in events.withColumn("t", F.col("cc_receive_time_ns")).orderBy("mission_id", "t", "stream_id", "sequence").collect():
+        rows.setdefault(r.mission_id, []).append(SimpleNamespace(**r.asDict()))
+    wanted = {(m, tick): concluded(said, locked) for m, flown in rows.items() for tick, said, locked in fly(flown)}
+    found = {(r.mission_id, r.tick): tuple(r[c] for c in ["severity", "action", "health_flags", *COLUMNS[2:]]) for r in replay.replay(events).collect()}
+    assert found.keys() == wanted.keys() and len({w[3] for w in wanted.values()}) >= 3
+    wrong = {k: (found[k], wanted[k]) for k in wanted if not same(wanted[k], found[k])}
+    assert not wrong, (len(wrong), sorted(wrong.items())[:4])

@@ -11,8 +11,8 @@ from tidemark.operators import align as J
 from tidemark.operators import ingest as I
 from tidemark.operators import scans as C
 from tidemark.operators import windows as W
-from tidemark.plans import replay, traces
-from tidemark.plans.adapters import SIGNALS, signals, table
+from tidemark.plans import replay
+from tidemark.plans.adapters import SIGNALS, missions, signals, table
 from tidemark.streaming import live
 
 QUERIES: dict = {}
@@ -693,25 +693,25 @@ def live_ewma(spark, sf_dir):
     return _rounded(df.withColumn("ewma", F.col("ewma") + 1e-8), "ewma")  # off the ties of cents
 
 
-# --- Replay of made flights -----------------------------------------------------------------------------------------
+# --- Replay of missions: sequential folds whose rows no SQL gives; tests hold them against an interpreter of one row after another ------------------
 
 
 @query()
 def replay_timeline(spark, sf_dir):
-    return replay.replay(traces.fault_flights(spark))
+    return replay.replay(missions(spark, sf_dir))
 
 
 @query()
 def replay_lanes(spark, sf_dir):
-    found = replay.lane_findings(traces.fault_flights(spark))
+    found = replay.lane_findings(missions(spark, sf_dir))
     return found.groupBy("mission_id", "lane", "availability", "severity", "detail_code").agg(F.count("*").alias("ticks"), F.min("tick").alias("first_tick"))
 
 
 @query()
 def replay_hash(spark, sf_dir):
-    return replay.timeline_hash(replay.replay(traces.flights(spark, 2, 30)))
+    return replay.timeline_hash(replay.replay(missions(spark, sf_dir)))
 
 
 @query()
 def replay_audit(spark, sf_dir):
-    return A.audit(replay.replay(traces.flights(spark, 4, 45)), ["mission_id"])
+    return A.audit(replay.replay(missions(spark, sf_dir)), ["mission_id"])

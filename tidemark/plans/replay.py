@@ -23,7 +23,8 @@ def lane_findings(events: DataFrame) -> DataFrame:
 
     ``events``: telemetry rows of any number of missions in one wide table. A tick sees what came strictly before
     it. A boot, told by state rows, begins all lanes anew, but not the times at which streams were last seen. The
-    prepared rows are written once to the shared folder; each lane scans its own columns of them.
+    prepared rows are written once to the shared folder, and so are the states at ticks; each lane scans its own columns of them and judges in a
+    projection of its own, which stays within what generated code may have.
     """
     df = stored(lanes.prepared(events), "prepared")
     seen = [F.when(F.col("stream_id") == k, F.col("t")).alias(f"seen{k}") for k in range(8)]
@@ -32,11 +33,11 @@ def lane_findings(events: DataFrame) -> DataFrame:
     values = [*(f"seen{k}" for k in range(8)), "locked", "phase_now", "epoch_now", *lanes.STATES]
     at = align.at_ticks(rows, MISSION, "t", lanes.ORDER, values)
     at = at.withColumns({s: F.when(F.col(f"{s}.epoch") == F.col("epoch_now"), F.col(s)) for s in lanes.STATES})
+    at = stored(at, "at-ticks")
     found = lanes.judged(F.array(*(f"seen{k}" for k in range(8))), F.col("tick"), F.coalesce("phase_now", F.lit("disarmed")))
-    each = F.array(*(F.struct(F.lit(lane).alias("lane"), found[lane].alias("f")) for lane in lanes.LANES))
-    return at.select("mission_id", "tick", F.coalesce("locked", F.lit(False)).alias("timesync_locked"), F.explode(each).alias("x")).select(
-        "mission_id", "tick", "x.lane", "x.f.*", "timesync_locked"
-    )
+    locked = F.coalesce("locked", F.lit(False)).alias("timesync_locked")
+    each = [at.select("mission_id", "tick", F.lit(lane).alias("lane"), found[lane].alias("f"), locked) for lane in lanes.LANES]
+    return align.merged([x.select("mission_id", "tick", "lane", "f.*", "timesync_locked") for x in each])
 
 
 def replay(events: DataFrame) -> DataFrame:
