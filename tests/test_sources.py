@@ -121,3 +121,21 @@ def test_parts_and_manifest_written_are_clean_when_inspected(spark, tmp_path):
 def test_scenarios(tmp_path):
     (tmp_path / "s.toml").write_text('[[event]]\nt = 2.5\nseverity = "WARN"\n[[event]]\nt = 0\n')
     assert sinks.read_scenario(tmp_path / "s.toml") == [(0, "ok"), (2_500_000_000, "warn")]
+
+
+def test_conclusions_of_a_scenario(tmp_path):
+    (tmp_path / "s.toml").write_text('[[event]]\nt_s = 2.5\nseverity = "Critical"\naction = "WARN"\nflags = ["GPS", "link"]\nconfidence = 70\n[[event]]\nt_s = 0\nseverity = "ok"\n')
+    first, second = sinks.read_conclusions(tmp_path / "s.toml")
+    assert first == {"time_ns": 0, "severity": "ok", "action": "none", "health_flags": 0, "confidence": 100}
+    assert second == {"time_ns": 2_500_000_000, "severity": "critical", "action": "warn_only", "health_flags": 72, "confidence": 70}
+    for wrong in ('severity = "bad"', 'severity = "ok"\naction = "fly"', 'severity = "ok"\nflags = ["x"]'):
+        (tmp_path / "s.toml").write_text(f"[[event]]\nt_s = 1\n{wrong}\n")
+        with pytest.raises(ValueError, match="bad"):
+            sinks.read_conclusions(tmp_path / "s.toml")
+
+
+def test_names(spark):
+    from tidemark.functions import scalars as S
+
+    got = spark.range(7, 8).select(S.segment_name(F.col("id")), S.mission_name(F.col("id")), S.part_name(F.col("id"))).first()
+    assert tuple(got) == ("segment_07", "mission_000007", "000007.parquet")

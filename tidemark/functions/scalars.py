@@ -137,3 +137,11 @@ def detail_block(code: Column) -> Column:
 
 def part_name(index: Column) -> Column:
     return F.format_string("%06d.parquet", index)
+
+
+def segment_name(index: Column) -> Column:
+    return F.format_string("segment_%02d", index)
+
+
+def mission_name(number: Column) -> Column:
+    return F.format_string("mission_%06d", number)
