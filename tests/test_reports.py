@@ -107,3 +107,25 @@ def test_branches_of_one_stream_and_its_status(spark, tmp_path):
 def test_logarithm_of_what_has_none_is_null(spark):
     got = [r.x for r in spark.createDataFrame([(1.0,), (0.0,), (-1.0,)], "v double").select(scalars.ln(F.col("v")).alias("x")).collect()]
     assert got[0] == 0.0 and all(x is None or x != x or x < -100 for x in got[1:])
+
+
+def test_the_rollup_reads_footers_and_scans_gaps_alone(spark, mission):
+    rolled = integrity.part_rollup(spark, mission, streams.PERIODIC)
+    plan = rolled._jdf.queryExecution().executedPlan().toString()
+    assert "part_footers" in plan and "seq_gap" in plan and "ReadSchema: struct<seq_gap:bigint>" in plan and "ReadSchema: struct<cc_receive_time_ns" not in plan
+    for name in streams.PERIODIC:
+        df = streams.read_stream(spark, mission, name)
+        want = df.agg(F.count("*"), F.min("cc_receive_time_ns"), F.max("cc_receive_time_ns"), F.sum("seq_gap"), F.count_distinct(F.col("_metadata.file_path"))).first()
+        r = rolled.filter(F.col("stream") == name).first()
+        assert (r.rows, r["first"], r["last"], r.gap_total, r.parts) == tuple(want)
+
+
+def test_parts_without_extremes_in_their_footers_are_scanned(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "segment_00/imu").mkdir(parents=True)
+    pq.write_table(pa.table({"cc_receive_time_ns": [5, 3], "seq_gap": [1, 2]}), tmp_path / "segment_00/imu/a.parquet", write_statistics=False)
+    pq.write_table(pa.table({"cc_receive_time_ns": [9], "seq_gap": [4]}), tmp_path / "segment_00/imu/b.parquet")
+    r = integrity.part_rollup(spark, str(tmp_path), ["imu"]).first()
+    assert (r.rows, r["first"], r["last"], r.gap_total, r.parts) == (3, 3, 9, 7, 2)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import align as J
+from tidemark.operators import merkle
 from tidemark.operators import prefix as P
 from tidemark.plans import queries as Q
 from tidemark.plans.adapters import signals
@@ -61,3 +63,12 @@ def live_timesync(spark, sf_dir):
     rows = _live(spark, sf_dir).withColumns({"sent": t * 1000, "received": t * 1000 + (F.col("value") * 1000).cast("long"), "remote": t * 1000 + 777})
     with ordered.state_store(spark):
         return live.drained(ordered.live_time_sync(rows, V, "remote", "sent", "received", late="1 hour"))
+
+
+@query(_sql("timeline_diff") + " QUALIFY row_number() OVER (PARTITION BY coalesce(a.vehicle, b.vehicle) ORDER BY coalesce(a.ordinal, b.ordinal)) <= 20")
+def timeline_tree_diff(spark, sf_dir):
+    """The first twenty differences of each vehicle's two timelines, found through trees of hashes."""
+    a = J.in_order(Q._timeline(spark, sf_dir), V, ["seq"]).drop("seq").withColumn("ordinal", F.col("ordinal").cast("long"))
+    b = a.filter("ordinal < 60").withColumn("severity", F.when(F.col("ordinal") % 50 == 0, "warn").otherwise(F.col("severity")))
+    out = merkle.tree_diff(a, b.select(a.columns), V)
+    return out.select("vehicle", "ordinal", F.col("left.severity").alias("left_severity"), F.col("right.severity").alias("right_severity"))

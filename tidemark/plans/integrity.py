@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregates import reconcile, stream_rollup, verdict
+from tidemark.operators.aggregates import reconcile, verdict
 from tidemark.sources import streams
+from tidemark.sources.footers import footers
 
 
 def part_rollup(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """Rows, first and last receive time, gaps, parts and bytes of each segment and stream, from the few columns that it needs."""
-    found = []
-    for name in names:
-        df = streams.read_stream(spark, root, name).select("segment", "cc_receive_time_ns", "seq_gap", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
-        rolled = stream_rollup(df, ["segment"], "cc_receive_time_ns")
-        files = df.select("segment", "file", "size").distinct().groupBy("segment").agg(F.count("*").alias("parts"), F.sum("size").alias("bytes"))
-        found.append(rolled.join(files, "segment").withColumn("stream", F.lit(name)))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    """Rows, first and last receive time, gaps, parts and bytes of each segment and stream: all but the gaps from the parts' footers, so that only ``seq_gap`` is scanned.
+
+    Parts whose footers lack the extremes of the receive time are scanned for it.
+    """
+    parts = footers(spark, root, "cc_receive_time_ns").withColumn("segment", F.regexp_extract("path", r"/(segment_[^/]*)/([^/]*)/[^/]*$", 1)).withColumn("stream", F.regexp_extract("path", r"/(segment_[^/]*)/([^/]*)/[^/]*$", 2))
+    told = parts.filter((F.col("segment") != "") & F.col("stream").isin(names))
+    rolled = told.groupBy("segment", "stream").agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("parts"), F.sum("bytes").alias("bytes"), F.bool_and("known").alias("known"))
+    rolled = rolled.filter("rows > 0")
+    gaps = reduce(DataFrame.unionByName, [streams.read_stream(spark, root, n).groupBy("segment").agg(F.sum("seq_gap").alias("gap_total")).withColumn("stream", F.lit(n)) for n in names])
+    out = rolled.join(gaps, ["segment", "stream"])
+    if not rolled.filter("not known").isEmpty():
+        ends = reduce(DataFrame.unionByName, [streams.read_stream(spark, root, n).groupBy("segment").agg(F.min("cc_receive_time_ns").alias("a"), F.max("cc_receive_time_ns").alias("b")).withColumn("stream", F.lit(n)) for n in names])
+        out = out.join(ends, ["segment", "stream"]).withColumn("first", F.col("a")).withColumn("last", F.col("b")).drop("a", "b")
+    return out.select("segment", "rows", "first", "last", "gap_total", "parts", "bytes", "stream")
 
 
 def inspect(spark: SparkSession, root: str, names: list[str], dialect_hash: str, schema_version: int, rolled: DataFrame | None = None) -> DataFrame:

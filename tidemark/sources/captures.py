@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 RANGE = 1 << 20
 
 
-def _store(path: str) -> tuple[pa.fs.FileSystem, str]:
+def store_of(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pa.fs.LocalFileSystem(), posixpath.abspath(path))
 
 
@@ -38,7 +38,7 @@ class RangeReader(DataSourceReader):
         self.range, self.beyond, self.task = int(options.get("range", RANGE)), int(options.get("beyond", 0)), int(options.get("task", 32 * RANGE))
 
     def partitions(self) -> Sequence[InputPartition]:
-        store, base = _store(self.path)
+        store, base = store_of(self.path)
         info = store.get_file_info(base)
         found = [info] if info.is_file else store.get_file_info(pa.fs.FileSelector(base, recursive=True, allow_not_found=True))
         step, out = max(1, self.task // self.range), []
@@ -50,7 +50,7 @@ class RangeReader(DataSourceReader):
     def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
         if part.first == part.last:
             return
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         with store.open_input_file(part.path) as file:
             for i in range(part.first, part.last):
                 data = file.read_at(min(self.range + self.beyond, part.size - i * self.range), i * self.range)
@@ -93,7 +93,7 @@ class CaptureWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
         self.job = uuid.uuid4().hex[:12]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        store, base = _store(self.path)
+        store, base = store_of(self.path)
         context = TaskContext.get()
         tail = f"{context.partitionId():05d}.bin.inprogress-{self.job}-{context.attemptNumber()}"
         files: dict[str, pa.NativeFile] = {}
@@ -118,7 +118,7 @@ class CaptureWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
         return [f.path for f in found if f.is_file and f".bin.inprogress-{self.job}-" in f.base_name]
 
     def commit(self, messages: list, batch: int | None = None) -> None:
-        store, base = _store(self.path)
+        store, base = store_of(self.path)
         mark = self.job if batch is None else f"batch{batch:08d}"
         if batch is not None:
             for f in store.get_file_info(pa.fs.FileSelector(base, recursive=True, allow_not_found=True)):
@@ -131,7 +131,7 @@ class CaptureWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
         self._clean(store, base)
 
     def abort(self, messages: list, batch: int | None = None) -> None:
-        self._clean(*_store(self.path))
+        self._clean(*store_of(self.path))
 
     def _clean(self, store, base: str) -> None:
         for file in self._begun(store, base):
