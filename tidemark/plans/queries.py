@@ -13,6 +13,7 @@ from tidemark.operators import scans as C
 from tidemark.operators import windows as W
 from tidemark.plans import replay
 from tidemark.plans.adapters import SIGNALS, missions, signals, table
+from tidemark.sources.shared import stored
 from tidemark.streaming import live
 
 QUERIES: dict = {}
@@ -696,22 +697,26 @@ def live_ewma(spark, sf_dir):
 # --- Replay of missions: sequential folds whose rows no SQL gives; tests hold them against an interpreter of one row after another ------------------
 
 
+def _missions(spark, sf_dir):
+    return stored(missions(spark, sf_dir), "missions")  # the lanes read them several times
+
+
 @query()
 def replay_timeline(spark, sf_dir):
-    return replay.replay(missions(spark, sf_dir))
+    return replay.replay(_missions(spark, sf_dir))
 
 
 @query()
 def replay_lanes(spark, sf_dir):
-    found = replay.lane_findings(missions(spark, sf_dir))
+    found = replay.lane_findings(_missions(spark, sf_dir))
     return found.groupBy("mission_id", "lane", "availability", "severity", "detail_code").agg(F.count("*").alias("ticks"), F.min("tick").alias("first_tick"))
 
 
 @query()
 def replay_hash(spark, sf_dir):
-    return replay.timeline_hash(replay.replay(missions(spark, sf_dir)))
+    return replay.timeline_hash(replay.replay(_missions(spark, sf_dir)))
 
 
 @query()
 def replay_audit(spark, sf_dir):
-    return A.audit(replay.replay(missions(spark, sf_dir)), ["mission_id"])
+    return A.audit(replay.replay(_missions(spark, sf_dir)), ["mission_id"])
