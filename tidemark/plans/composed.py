@@ -12,8 +12,10 @@ from tidemark.plans.adapters import signals
 from tidemark.plans.queries import HOUR, T, V, query
 from tidemark.streaming import live, ordered
 
-#: Rows of a vehicle are sorted day by day.
-DAY = F.floor(F.col("t") / (24 * HOUR))
+
+def _day():
+    """Rows of a vehicle are sorted day by day."""
+    return F.floor(F.col("t") / (24 * HOUR))
 
 
 def _sql(name: str) -> str:
@@ -22,14 +24,14 @@ def _sql(name: str) -> str:
 
 @query(_sql("ewma"))
 def ewma_prefix(spark, sf_dir):
-    df = P.ewma(signals(spark, sf_dir), V, T, "value", 0.05, DAY)
+    df = P.ewma(signals(spark, sf_dir), V, T, "value", 0.05, _day())
     return df.select("vehicle", "seq", F.round(F.col("ewma") + 1e-8, 6).alias("ewma"), F.round(F.col("ewma_var") + 1e-7, 5).alias("ewma_var"))
 
 
 @query(_sql("shed_ladder"))
 def shed_ladder_tree(spark, sf_dir):
     df = signals(spark, sf_dir).withColumn("free", (F.col("value") * 10).cast("long"))
-    return P.shedding(df, V, T, "free", (400, 200, 50), (600, 300, 100), DAY).select("vehicle", "seq", "stage")
+    return P.shedding(df, V, T, "free", (400, 200, 50), (600, 300, 100), _day()).select("vehicle", "seq", "stage")
 
 
 def _fitted(spark, sf_dir):
@@ -38,7 +40,7 @@ def _fitted(spark, sf_dir):
 
 @query(_sql("rls3").replace(", 4) AS", ", 2) + 0.0 AS"))
 def rls3_information(spark, sf_dir):
-    found = P.least_squares(_fitted(spark, sf_dir), V, T, "u", "value", block=DAY)
+    found = P.least_squares(_fitted(spark, sf_dir), V, T, "u", "value", block=_day())
     return found.select("vehicle", "seq", *((F.round(c, 2) + 0.0).alias(c) for c in ("residual", "theta0", "theta1", "theta2")))  # no minus zero
 
 
