@@ -141,3 +141,17 @@ def test_streaming_ewma_equals_batch(spark, tmp_path):
 
     batch = {r.i: r.ewma for r in ewma(spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), ["k"], ["i"], "x", 0.3).collect()}
     assert {r.i: r.ewma for r in spark.table("smoothed").collect()} == batch
+
+
+def test_lanes_carry_what_they_read_and_ticks_need_no_second_pass(spark):
+    from tidemark.operators import align
+    from tidemark.operators.scans import ewma
+    from tidemark.plans import lanes
+
+    df = lanes.prepared(traces.flights(spark, 1, 2))
+    assert not {"q", "accel", "gyro", "angular_velocity", "velocity_ned"} & set(df.columns)
+    scanned = ewma(df.select("mission_id", "t", F.col("throttle").alias("x")), ["mission_id"], ["t"], "x", 0.1)
+    once, twice = (align.at_ticks(scanned, ["mission_id"], "t", ["t"], ["ewma"], span=span) for span in (df, None))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert once.orderBy("tick").collect() == twice.orderBy("tick").collect()

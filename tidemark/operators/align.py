@@ -35,12 +35,13 @@ def ticks(df: DataFrame, keys: list[str], time: str, step: int = TICK_NS) -> Dat
     return ends.select(*keys, F.explode(F.sequence("_start", "_last", F.lit(step).cast("long"))).alias("tick"))
 
 
-def at_ticks(df: DataFrame, keys: list[str], time: str, order: list[str], values: list[str], step: int = TICK_NS) -> DataFrame:
+def at_ticks(df: DataFrame, keys: list[str], time: str, order: list[str], values: list[str], step: int = TICK_NS, span: DataFrame | None = None) -> DataFrame:
     """(keys, tick, values): on each grid point the last values of rows strictly before it, nulls passed over.
 
     Grid rows join the events in a union and sort before events of equal time, so the window sees earlier ones only.
+    ``span``: a cheaper table with the first and last times of ``df``, where ``df`` is the end of long work that would be done twice.
     """
-    grid = ticks(df, keys, time, step).select(*keys, F.col("tick").alias("_t"), F.lit(0).alias("_event"))
+    grid = ticks(df if span is None else span, keys, time, step).select(*keys, F.col("tick").alias("_t"), F.lit(0).alias("_event"))
     events = df.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_event"), *dict.fromkeys([*(o for o in order if o not in keys), *values]))
     both = grid.unionByName(events, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("_t", "_event", *(o for o in order if o != time)).rowsBetween(Window.unboundedPreceding, 0)

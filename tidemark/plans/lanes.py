@@ -27,21 +27,34 @@ def _so_far():
     return Window.partitionBy(*KEYS).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
 
 
+#: Columns of telemetry rows that a lane reads.
+_READ = [
+    "mission_id", "px4_boot_id", "stream_id", "cc_receive_time_ns", "sequence", "seq_gap", "age_locked", "angular_velocity", "position_ned", "velocity_ned", "heading", "arming_state", "estimator_valid",
+    "clipping_count", "vibration_metric", "temperature", "voltage", "current", "consumed_mah", "remaining", "cell_count", "warning", "connected", "eph", "epv", "ground_speed", "noise_per_ms", "jamming_indicator",
+    "fix_type", "satellites_used", "velocity_test_ratio", "position_test_ratio", "height_test_ratio", "mag_test_ratio", "innovation_check_flags", "actuator_output", "motor_count",
+]
+
+
 def prepared(events: DataFrame) -> DataFrame:
-    """Telemetry rows with t, seq (null as 0), epoch (boots so far, told by state rows), phase and speed as of each row."""
-    df = events.withColumn("t", F.col("cc_receive_time_ns")).withColumn("seq", F.coalesce("sequence", F.lit(0)))
-    df = ingest.boot_epoch(df, ["mission_id"], ORDER, "px4_boot_id", F.col("stream_id") == 0)
+    """Telemetry rows, in the columns that lanes read, with t, seq (null as 0), epoch (boots so far, told by state rows), phase and speed as of each row.
+
+    State rows alone go through the windows of boots and phases. All rows together are sorted once, by mission: a boot begins
+    with a state row, so a value of an earlier boot is told by its epoch.
+    """
+    df = events.select(*_READ).withColumnsRenamed({"cc_receive_time_ns": "t"}).withColumn("seq", F.coalesce("sequence", F.lit(0))).drop("sequence")
     state = F.col("stream_id") == 0
-    df = df.withColumn("omega", F.when(state, S.norm(*(F.get("angular_velocity", i) for i in range(3)))))
-    df = df.withColumn("hspeed", F.when(state, S.norm(*(F.get("velocity_ned", i) for i in range(2)))))
-    flown = windows.flight_phase(df.filter(state), KEYS, ORDER, "t", "arming_state", "omega")
-    both = flown.unionByName(df.filter(~state), allowMissingColumns=True)
+    told = df.filter(state).withColumn("omega", S.norm(*(F.get("angular_velocity", i) for i in range(3)))).withColumn("hspeed", S.norm(*(F.get("velocity_ned", i) for i in range(2))))
+    told = ingest.boot_epoch(told.drop("angular_velocity", "velocity_ned"), ["mission_id"], ORDER, "px4_boot_id")
+    flown = windows.flight_phase(told, KEYS, ORDER, "t", "arming_state", "omega").drop("omega")
+    both = flown.unionByName(df.filter(~state).drop("angular_velocity", "velocity_ned"), allowMissingColumns=True)
     n = F.greatest(F.lit(1), F.least(F.lit(8), F.col("motor_count").cast("int")))
     throttle = F.aggregate(F.slice("actuator_output", 1, n), F.lit(0.0), lambda a, x: a + x.cast("double")) / n
     values = {
-        "phase": F.col("phase"), "throttle": F.when((F.col("stream_id") == 5) & S.finite(throttle), throttle), "ekf_speed": F.col("hspeed"), "ekf_valid": F.when(F.col("stream_id") == 0, F.col("estimator_valid") != 0),
+        "phase": F.col("phase"), "throttle": F.when((F.col("stream_id") == 5) & S.finite(throttle), throttle), "ekf_speed": F.col("hspeed"), "ekf_valid": F.when(state, F.col("estimator_valid") != 0),
     }
-    out = align.latest(both, KEYS, ORDER, values)
+    out = align.latest(both, ["mission_id"], ORDER, {"epoch": F.col("epoch")}).withColumn("epoch", F.coalesce("epoch", F.lit(0).cast("long"))).withColumns(values)
+    out = align.latest(out, ["mission_id"], ORDER, {name: F.when(F.col(name).isNotNull(), F.struct("epoch", name)) for name in values})
+    out = out.withColumns({name: F.when(F.col(f"{name}.epoch") == F.col("epoch"), F.col(f"{name}.{name}")) for name in values})
     out = out.withColumn("phase", F.coalesce("phase", F.lit("disarmed"))).withColumn("throttle", F.coalesce("throttle", F.lit(0.0)))
     return out.withColumn("steady", F.col("phase") == "steady")
 
@@ -50,6 +63,11 @@ def _d(name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def _scan(df: DataFrame, keys: list[str], order: list[str], fold, inputs: list[str], outputs: str, kept: list[str] = ()) -> DataFrame:
+    """An ordered scan of no more than its keys, its inputs and what is ``kept``: rows of all streams are wide, and each column goes to Python and back."""
+    return ordered_scan(df.select(*dict.fromkeys([*KEYS, *ORDER, *keys, *inputs, *kept])), keys, order, fold, inputs, outputs)
+
+
 def _state(df: DataFrame, lane: str, *columns) -> DataFrame:
     return df.select("mission_id", *ORDER, F.struct("epoch", *columns).alias(lane))
 
@@ -72,7 +90,8 @@ def battery_states(df: DataFrame) -> DataFrame:
     good = good.withColumn("first_ns", F.first("t").over(_so_far())).withColumn("hi", F.sum(loaded.cast("int")).over(_so_far()))
     w = Window.partitionBy(*KEYS).orderBy(*ORDER)
     good = good.withColumn("before", F.struct(F.lag("consumed_mah").over(w).alias("c"), F.lag("remaining").over(w).alias("r")))
-    good = ordered_scan(good, KEYS, ORDER, SagAndGrowth, ["i", "residual", "ratio", "loaded"], "i_mean double, i_var double, active boolean, sagged double, grown double")
+    kept = ["on", "consumed_mah", "remaining", "warning", "before", "gauge_fault", "v_cell", "v_pred", "ocv", "r_hat", "r_model", "first_ns", "hi"]
+    good = _scan(good, KEYS, ORDER, SagAndGrowth, ["i", "residual", "ratio", "loaded"], "i_mean double, i_var double, active boolean, sagged double, grown double", kept)
     v_hover = F.col("ocv") - F.col("i_mean") * F.greatest("r_hat", "r_model")
     one = F.lit(1.0).cast("float")
     fell = ((F.col("consumed_mah") + one).cast("float") < F.col("before.c")) & ~F.isnan("before.c")
@@ -106,12 +125,15 @@ def vibration_states(df: DataFrame) -> DataFrame:
     imu = df.filter("stream_id = 1").withColumn("armed", F.col("phase") != "disarmed").withColumn("metrics", F.transform("vibration_metric", lambda x: x.cast("double")))
     accel = F.get("metrics", F.lit(0))
     counted = F.col("steady") & S.finite(accel)
-    imu = ordered_scan(imu, KEYS, ORDER, Vibration, ["t", "armed", "steady", "clipping_count", "throttle", "metrics"], "clip_rate double, n_tripped int, worst int, z double, excess double")
-    return _state(
-        imu, "vibration", "clip_rate", "n_tripped", "worst", "z", "excess", F.sum(F.col("steady").cast("int")).over(_so_far()).alias("samples"),
-        F.max(counted & (accel >= 60)).over(_so_far()).alias("crit"), F.max(counted & (accel >= 30) & (accel < 60)).over(_so_far()).alias("warn"),
-        F.last(F.when(counted, accel), ignorenulls=True).over(_so_far()).alias("accel"),
+    imu = imu.withColumns(
+        {
+            "samples": F.sum(F.col("steady").cast("int")).over(_so_far()), "crit": F.max(counted & (accel >= 60)).over(_so_far()), "warn": F.max(counted & (accel >= 30) & (accel < 60)).over(_so_far()),
+            "accel": F.last(F.when(counted, accel), ignorenulls=True).over(_so_far()),
+        }
     )
+    inputs = ["t", "armed", "steady", "clipping_count", "throttle", "metrics"]
+    imu = _scan(imu, KEYS, ORDER, Vibration, inputs, "clip_rate double, n_tripped int, worst int, z double, excess double", ["samples", "crit", "warn", "accel"])
+    return _state(imu, "vibration", "clip_rate", "n_tripped", "worst", "z", "excess", "samples", "crit", "warn", "accel")
 
 
 # --- Estimator ------------------------------------------------------------------------------------------------------
@@ -121,8 +143,9 @@ def estimator_states(df: DataFrame) -> DataFrame:
     names = ["velocity_test_ratio", "position_test_ratio", "height_test_ratio", "mag_test_ratio"]
     rows = df.filter("stream_id = 4 and steady").withColumns({n: _d(n) for n in names})
     rows = windows.streak(rows, KEYS, ORDER, F.col("innovation_check_flags") != 0, F.col("innovation_check_flags") == 0, "flagged")
-    rows = ordered_scan(rows, KEYS, ORDER, TestRatios, names, "groups int, worst int, ratio double")
-    return _state(rows, "estimator", "groups", "worst", "ratio", "flagged", F.count(F.lit(1)).over(_so_far()).alias("samples"))
+    rows = rows.withColumn("samples", F.count(F.lit(1)).over(_so_far()))
+    rows = _scan(rows, KEYS, ORDER, TestRatios, names, "groups int, worst int, ratio double", ["flagged", "samples"])
+    return _state(rows, "estimator", "groups", "worst", "ratio", "flagged", "samples")
 
 
 # --- Position -------------------------------------------------------------------------------------------------------
@@ -138,9 +161,10 @@ def gps_states(df: DataFrame) -> DataFrame:
         "fix": F.col("fix_type") < 3, "few": F.col("satellites_used") < 7, "eph_high": over("eph", 3.0), "epv_high": over("epv", 5.0), "diverged": F.coalesce(over("apart", 3.0), F.lit(False)),
     }.items():
         rows = windows.streak(rows, KEYS, ORDER, bad, ~bad, name)
-    rows = ordered_scan(rows, KEYS, ORDER, Reception, ["steady", "satellites_used", "log_eph", "noise_per_ms", "jamming_indicator"], "sats_down boolean, eph_drift boolean, noise_z double, jam_z double")
-    apart = F.last("apart", ignorenulls=True).over(_so_far())
-    return _state(rows, "gps", "fix", "few", "eph_high", "epv_high", "diverged", "sats_down", "eph_drift", "noise_z", "jam_z", "eph", "epv", F.col("satellites_used").alias("sats"), apart.alias("apart"), F.count(F.lit(1)).over(_so_far()).alias("samples"))
+    rows = rows.withColumns({"apart": F.last("apart", ignorenulls=True).over(_so_far()), "samples": F.count(F.lit(1)).over(_so_far())})
+    kept = ["fix", "few", "eph_high", "epv_high", "diverged", "eph", "epv", "apart", "samples"]
+    rows = _scan(rows, KEYS, ORDER, Reception, ["steady", "satellites_used", "log_eph", "noise_per_ms", "jamming_indicator"], "sats_down boolean, eph_drift boolean, noise_z double, jam_z double", kept)
+    return _state(rows, "gps", "fix", "few", "eph_high", "epv_high", "diverged", "sats_down", "eph_drift", "noise_z", "jam_z", "eph", "epv", F.col("satellites_used").alias("sats"), "apart", "samples")
 
 
 # --- Motors ---------------------------------------------------------------------------------------------------------
@@ -157,9 +181,10 @@ def motor_states(df: DataFrame) -> DataFrame:
     for i in range(4):
         o = F.get("outputs", F.lit(i))
         rows = windows.streak(rows, KEYS, ORDER, F.coalesce(o >= 0.95, F.lit(False)), F.coalesce(o < 0.95, F.lit(False)), f"full{i}")
-    rows = ordered_scan(rows, KEYS, ORDER, MotorOffsets, ["outputs", "motors"], "offset double")
+    rows = rows.withColumn("samples", F.count("outputs").over(_so_far()))
+    rows = _scan(rows, KEYS, ORDER, MotorOffsets, ["outputs", "motors"], "offset double", ["sectors", "samples", *(f"full{i}" for i in range(4))])
     full = reduce(lambda a, b: a | b, [(F.col(f"full{i}") >= 20) & (F.col("motors") > i) for i in range(4)])
-    return _state(rows, "motor", "offset", full.alias("full"), F.coalesce("sectors", F.lit(0)).alias("sectors"), F.count("outputs").over(_so_far()).alias("samples"))
+    return _state(rows, "motor", "offset", full.alias("full"), F.coalesce("sectors", F.lit(0)).alias("sectors"), "samples")
 
 
 # --- Link -----------------------------------------------------------------------------------------------------------
@@ -170,7 +195,7 @@ def link_states(df: DataFrame) -> DataFrame:
     rows = df.filter("stream_id < 6").select("mission_id", "epoch", *ORDER, _d("seq_gap").alias("gap"))
     rows = ingest.inter_arrival(rows, keys, ["t", "seq"], "t").withColumn("dt", _d("dt"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("t", "seq")))
-    rows = ordered_scan(rows, keys, ["t", "seq"], StreamLink, ["gap", "dt"], "gap_mean double, interval double, spread double, lossy boolean")
+    rows = _scan(rows, keys, ["t", "seq"], StreamLink, ["gap", "dt"], "gap_mean double, interval double, spread double, lossy boolean", ["n"])
     period = S.lookup(ingest.PERIOD_NS, F.col("stream_id").cast("int")).cast("double")
     g = F.greatest("gap_mean", F.lit(0.0))
     share = g / (1 + g)
@@ -194,7 +219,8 @@ def link_states(df: DataFrame) -> DataFrame:
 def thermal_states(df: DataFrame, stream: int, lane: str) -> DataFrame:
     rows = df.filter(F.col("stream_id") == stream).select("mission_id", "epoch", *ORDER, _d("temperature").alias("value"))
     good = windows.despiked(rows.filter(S.finite(F.col("value"))), KEYS, ORDER, "value")
-    good = ordered_scan(good, KEYS, ORDER, Warming, ["t", "despiked"], "level double, rate double").withColumn("n", F.count(F.lit(1)).over(_so_far()))
+    good = good.withColumn("n", F.count(F.lit(1)).over(_so_far()))
+    good = _scan(good, KEYS, ORDER, Warming, ["t", "despiked"], "level double, rate double", ["n"])
     known = good.select("mission_id", "epoch", *ORDER, F.struct("level", "rate", "n").alias("s"), F.lit(False).alias("nan"))
     others = rows.filter(~S.finite(F.col("value"))).select("mission_id", "epoch", *ORDER, F.lit(True).alias("nan"))
     both = align.latest(known.unionByName(others, allowMissingColumns=True), KEYS, ORDER, {"s": F.col("s")})
@@ -214,9 +240,9 @@ def mission_states(df: DataFrame) -> DataFrame:
     power = F.col("stream_id") == 2
     rows = rows.withColumn("amps", F.when(power & F.col("steady") & S.finite(_d("current")), _d("current")))
     rows = rows.withColumn("fast", F.when((F.col("stream_id") == 0) & F.col("steady") & (F.col("hspeed") > 2.0) & S.finite(F.col("hspeed")), F.col("hspeed")))
-    rows = ordered_scan(rows, KEYS, ORDER, Cruise, ["amps", "fast"], "amps_mean double, amps_n int, speed_mean double, speed_n int")
     rest = F.when(power & S.finite(_d("remaining")), S.clamp01(_d("remaining")))
     rows = align.latest(rows, KEYS, ORDER, {"rest": rest, "on": F.when(power, F.col("connected") != 0), "away": F.col("away")})
+    rows = _scan(rows, KEYS, ORDER, Cruise, ["amps", "fast"], "amps_mean double, amps_n int, speed_mean double, speed_n int", ["rest", "on", "away"])
     return _state(rows, "mission", F.coalesce("away", F.lit(0.0)).alias("away"), "rest", F.coalesce("on", F.lit(False)).alias("on"), "amps_mean", "amps_n", "speed_mean", "speed_n")
 
 

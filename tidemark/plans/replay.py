@@ -31,7 +31,7 @@ def lane_findings(events: DataFrame) -> DataFrame:
     base = df.select("mission_id", *lanes.ORDER, *seen, F.col("age_locked").alias("locked"), F.col("phase").alias("phase_now"), F.col("epoch").alias("epoch_now"))
     rows = align.merged([base, *lanes.lane_states(df)])
     values = [*(f"seen{k}" for k in range(8)), "locked", "phase_now", "epoch_now", *lanes.STATES]
-    at = align.at_ticks(rows, MISSION, "t", lanes.ORDER, values)
+    at = align.at_ticks(rows, MISSION, "t", lanes.ORDER, values, span=df)
     at = at.withColumns({s: F.when(F.col(f"{s}.epoch") == F.col("epoch_now"), F.col(s)) for s in lanes.STATES})
     at = stored(at, "at-ticks")
     found = lanes.judged(F.array(*(f"seen{k}" for k in range(8))), F.col("tick"), F.coalesce("phase_now", F.lit("disarmed")))
