@@ -1,6 +1,8 @@
 """Frames, parts, manifests and scenarios."""
 
+import json
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,24 @@ def test_frames_and_accounts_are_the_same_for_every_size_of_range(spark, tmp_pat
         assert {k: rows[name][k] for k in account} == account, name
 
 
+def test_a_task_holds_one_range_however_many_it_reads(tmp_path):
+    rnd = random.Random(3)
+    data = b"".join(frame(54000, rnd.randbytes(9), i % 256) for i in range(2000))
+    (tmp_path / "a").write_bytes(data * 16)
+    size, peaks = len(data), []
+    reader = frames.FrameReader({"path": str(tmp_path), "range": size, "beyond": frames.LONGEST + 1, "task": 16 * size, "extras": json.dumps(EXTRAS)})
+    (part,) = reader.partitions()
+    for last in (2, 2, 16):
+        part.last, n = last, 0
+        tracemalloc.start()
+        for batch in reader.read(part):
+            n += batch.num_rows - batch.column("offset").null_count
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n == 2000 * last
+    assert peaks[2] < 1.2 * peaks[1]
+
+
 def test_many_checks_at_once_equal_each_by_itself():
     rnd = random.Random(2)
     data = rnd.randbytes(3000)

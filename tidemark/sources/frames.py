@@ -6,6 +6,7 @@ it; which of these were right follows by stitching (``stitch.entered``). Frames
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSourceReader, InputPartition
 
-from tidemark.sources.captures import RANGE, byte_ranges
+from tidemark.sources.captures import RANGE, RangeReader, RangeSource
 from tidemark.sources.shared import stored
 from tidemark.sources.stitch import entered
 
@@ -57,7 +59,7 @@ def checksum(data: bytes, extra: int) -> int:
 class _Range:
     """All that may be a frame in the first ``left`` bytes of ``data``; ``rest`` bytes are left of the file from there."""
 
-    def __init__(self, data: bytes, left: int, rest: int, extras: dict[int, int]):
+    def __init__(self, data: bytes | pa.Buffer, left: int, rest: int, extras: dict[int, int]):
         self.left = left
         bytes_ = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(LONGEST + 2, np.uint8)])
         start = (bytes_ == START_V1) | (bytes_ == START_V2)
@@ -109,8 +111,8 @@ class _Range:
             until = self.at[end] if self.pending[end] else max(self.at[end] + self.step[end], self.left)
             yield int(low), int(high), int(until), bool(self.pending[end]), sums[node].tolist()
 
-    def frames(self, lows: dict[int, int]) -> Iterator[tuple]:
-        """(offset, message, system, component, sequence, payload, entries) of each valid frame that is on a chain; entries: None where it is on all.
+    def frames(self, lows: dict[int, int]) -> Iterator[tuple[int, list[int] | None]]:
+        """(which start byte, entries) of each valid frame that is on a chain; entries: None where it is on all.
 
         lows: first start byte of a chain -> the entry that names it.
         """
@@ -123,36 +125,73 @@ class _Range:
                 continue
             on[next_[i]] |= on[i]
             if valid:
-                at, head = int(self.at[i]), int(self.head[i])
-                field = 4 if head == HEADER_V2 else 2
-                sequence, system, component = self.bytes[at + field : at + field + 3].tolist()
-                payload = self.bytes[at + head : at + head + int(self.payload[i])].tobytes()
-                yield at, int(self.message[i]), system, component, sequence, payload, None if on[i] == every else [x for b, x in enumerate(names) if on[i] >> b & 1]
+                yield i, None if on[i] == every else [x for b, x in enumerate(names) if on[i] >> b & 1]
+
+    def columns(self, i: np.ndarray) -> dict[str, pa.Array]:
+        """Offset, message, system, component, sequence and payload of frames, by which start bytes they have."""
+        begin, head, length = self.at[i], self.head[i], self.payload[i]
+        field = begin + np.where(head == HEADER_V2, 4, 2)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+        payload = self.bytes[np.repeat(begin + head - ends[:-1], length) + np.arange(ends[-1])]
+        numbers = {"offset": begin, "message": self.message[i], **{c: self.bytes[field + at].astype(np.int32) for at, c in enumerate(("sequence", "system", "component"))}}
+        return {c: pa.array(x) for c, x in numbers.items()} | {"payload": pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(payload)])}
 
 
 _MAPS = "path string, range long, low long, high long, leaves long, into long, until long, size long, " + ", ".join(f"{s} long" for s in SUMS)
 _FRAMES = "offset long, message long, system int, component int, sequence int, payload binary, entries array<long>"
 
 
-def _parsed(extras: dict[int, int], size: int):
-    kinds = {"path": pa.string(), **dict.fromkeys(["range", "low", "high", "leaves", "into", "until", "size", *SUMS, "offset", "message"], pa.int64())}
-    kinds |= dict.fromkeys(["system", "component", "sequence"], pa.int32()) | {"payload": pa.binary(), "entries": pa.list_(pa.int64())}
+_KINDS = {"path": pa.string(), **dict.fromkeys(["range", "low", "high", "leaves", "into", "until", "size", *SUMS, "offset", "message"], pa.int64())}
+_KINDS |= dict.fromkeys(["system", "component", "sequence"], pa.int32()) | {"payload": pa.binary(), "entries": pa.list_(pa.int64())}
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, number, at, total, data in zip(*(batch.column(c).to_pylist() for c in ("path", "range", "at", "size", "data"))):
-                left = min(size, total - at)
-                found = _Range(data, left, total - at, extras)
-                rows, lows = [], {}
-                for low, high, until, pending, sums in found.entries(min(left, LONGEST) if number else 1):
-                    lows.setdefault(int(np.searchsorted(found.at, low)), low)
-                    over = pending or at + until >= total
-                    rows.append((path, number, low, high, None if over else (at + until) % size, None if over else (at + until) // size, at + until, total, *sums, *[None] * 7))
-                for offset, *rest in found.frames(lows):
-                    rows.append((path, number, *[None] * (6 + len(SUMS)), at + offset, *rest))
-                yield pa.RecordBatch.from_pydict({c: pa.array(list(v), kind) for (c, kind), v in zip(kinds.items(), zip(*rows))})
 
-    return parse
+def _batch(rows: int, **columns: pa.Array | object) -> pa.RecordBatch:
+    """A batch of these columns, or of one value in all rows; columns that aren't told are null."""
+    full = {c: x if isinstance(x, pa.Array) else pa.repeat(pa.scalar(x, _KINDS[c]), rows) for c, x in columns.items()}
+    return pa.RecordBatch.from_pydict({c: full[c].cast(kind) if c in full else pa.nulls(rows, kind) for c, kind in _KINDS.items()})
+
+
+class FrameReader(RangeReader):
+    """Reads a range and tells its maps and frames before it reads the next, so that a task holds one range, whatever it reads in all."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.extras = {int(k): v for k, v in json.loads(options["extras"]).items()}
+
+    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
+        size = self.range
+        for batch in super().read(part):
+            path, number, at, total = (batch.column(c)[0].as_py() for c in ("path", "range", "at", "size"))
+            left = min(size, total - at)
+            found = _Range(batch.column("data")[0].as_buffer(), left, total - at, self.extras)
+            rows, lows = [], {}
+            for low, high, until, pending, sums in found.entries(min(left, LONGEST) if number else 1):
+                lows.setdefault(int(np.searchsorted(found.at, low)), low)
+                over = pending or at + until >= total
+                rows.append((low, high, None if over else (at + until) % size, None if over else (at + until) // size, at + until, *sums))
+            names = ("low", "high", "leaves", "into", "until", *SUMS)
+            yield _batch(len(rows), path=path, range=number, size=total, **{c: pa.array(x, _KINDS[c]) for c, x in zip(names, zip(*rows))})
+            which, entries = np.empty(int(found.ok.sum()), np.int64), []
+            for i, names in found.frames(lows):
+                which[len(entries)] = i
+                entries.append(names)
+            told = found.columns(which[: len(entries)])
+            told["offset"] = pa.array(told["offset"].to_numpy() + at)
+            yield _batch(len(entries), path=path, range=number, entries=pa.array(entries, _KINDS["entries"]), **told)
+
+
+class FrameSource(RangeSource):
+    """Format link_frames: the ranges of ``byte_ranges``, decoded where they are read; ``extras`` is JSON of the extra bytes by message."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "link_frames"
+
+    def schema(self) -> str:
+        return f"{_MAPS}, {_FRAMES}"
+
+    def reader(self, schema) -> DataSourceReader:
+        return FrameReader(dict(self.options))
 
 
 def decode(spark: SparkSession, path: str, extras: dict[int, int], pattern: str = "*", size: int = RANGE) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +201,9 @@ def decode(spark: SparkSession, path: str, extras: dict[int, int], pattern: str
     add up), numbers of frames, and start bytes that began none: unknown flags, failed checks, unknown messages that no start byte follows. Reading resumes at the byte
     after a start byte whose frame fails; a well-delimited frame of an unknown message is passed over whole. An empty file has no row.
     """
-    seen = stored(byte_ranges(spark, path, pattern, size, LONGEST + 1).mapInArrow(_parsed(extras, size), f"{_MAPS}, {_FRAMES}"), "frames")
+    spark.dataSource.register(FrameSource)
+    told = {"pattern": pattern, "range": size, "beyond": LONGEST + 1, "task": 32 * max(size, RANGE), "extras": json.dumps(extras)}
+    seen = stored(spark.read.format("link_frames").options(**told).load(path), "frames")
     maps = seen.filter("low is not null")
     way = stored(entered(maps.select("path", "range", "low", "high", "leaves", "into")), "frame-ways")
     used = way.select("path", "range", F.col("low").alias("by"))
