@@ -57,3 +57,34 @@ def test_the_clock_filter_equals_its_batch_twin(spark, tmp_path, size):
     df = exchanges(spark.createDataFrame([r for r in rows if r[2] <= passed], SCHEMA))
     batch = scans.time_sync(df, ["vehicle"], ["t", "seq"], "remote", "sent", "received").select(*found.columns)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect())) and found.count() > 300
+
+
+def test_waiting_rows_are_a_few_values_of_state():
+    class Held(list):
+        def get(self):
+            return iter(self)
+
+        def put(self, values):
+            self[:] = values
+
+        appendList = list.extend
+
+    class Handle:
+        timers, states = [], {}
+        registerTimer = timers.append
+
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, Held())
+
+    at = lambda ms: type("Times", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    handle, n = Handle(), 2 * ordered.PACK + 5
+    made = ordered._Ordered([0, 1, 2, 3, 4], [0, 1, 2, 3, 4], ordered.Clock, ["vehicle", "seq", "accepted", "offset_ns", "rtt_ns", "quality", "rejected"])
+    made.init(handle)
+    rows = [(1000 * i, i, 5 * i, 1000 * i, 1000 * i + 9) for i in range(1, n + 1)]
+    random.Random(1).shuffle(rows)
+    assert list(made.handleInputRows((7,), [(7, None, list(r)) for r in rows], at(0))) == []
+    assert len(handle.states["buffer"]) == 3 and handle.timers == [1]
+    found = list(made.handleExpiredTimer((7,), at(n - 1), None)) + list(made.handleExpiredTimer((7,), at(n), None))
+    fold = ordered.Clock()
+    assert [tuple(r) for r in found] == [(7, *x) for r in sorted(rows) for x in fold.step(*r)]
+    assert handle.states["buffer"] == [] and len(handle.states["kept"]) == 1 and handle.timers == [1, n]
