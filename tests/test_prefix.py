@@ -63,6 +63,15 @@ def test_the_ladder(spark, rows, wide, monkeypatch):
     assert a == b and set(a.values()) == {0, 1, 2, 3}
 
 
+def test_the_ladder_sends_no_table_whole_to_every_task(spark, rows, monkeypatch):
+    monkeypatch.setattr(prefix, "ROWS", 500)
+    df = rows.filter("k is not null")
+    found = prefix.shedding(df, K, O, "free", (400, 200, 50), (600, 300, 100), F.floor(F.col("t") / 700))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert found.rdd.getNumPartitions() == -(-df.count() // 500) and found.count() == df.count()
+
+
 def test_one_long_key_is_many_tasks_and_no_python(spark, rows):
     found = prefix.ewma(rows.filter("k = 1"), K, O, "x", 0.05, F.floor(F.col("t") / 100))
     plan = found._jdf.queryExecution().toString()

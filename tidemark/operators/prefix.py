@@ -18,6 +18,8 @@ from tidemark.sources.shared import stored
 LEAST_WEIGHT = 1e-140
 #: Rows that one node of the tree of maps composes.
 WIDE = 64
+#: Rows of a key's table that one task sorts for a join, whatever the size of the table.
+ROWS = 1 << 19
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column | None, counts: Column, name: str) -> DataFrame:
@@ -118,13 +120,19 @@ def least_squares(df: DataFrame, keys: list[str], order: list[str], u: str, y: s
     return both.withColumn("residual", F.when(valid, b - guess)).drop("_n", "_part", "_last", "_p0", "_p1", "_p2")
 
 
+def _merged(a: DataFrame, b: DataFrame, on: list[str], parts: int) -> DataFrame:
+    """a and b joined by sorting, in so many tasks. The files of stored numbers are small enough to be broadcast where their rows aren't."""
+    return a.repartition(parts, *on).join(b.repartition(parts, *on).hint("merge"), on)
+
+
 def states(df: DataFrame, keys: list[str], order: list[str], step: Column, size: int, name: str, start: int = 0, block: Column | None = None) -> DataFrame:
     """Adds the state after each row of an automaton of ``size`` states: ``step`` is the row's map, an array with the next state of each.
 
     Maps of WIDE neighbours are composed to one, level by level, until each key has one; then each node hands its members the states they are entered
-    with. No task holds more than WIDE rows of a key at once.
+    with. No task holds more than WIDE rows of a key at once, and a task of a join sorts ROWS rows or so.
     """
     rows = stored(numbered(df, keys, order, block, F.lit(True), "_i").drop("_block").withColumn("_map", step), "maps")
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
     levels, members = [], rows.select(*keys, (F.col("_i") - 1).alias("_i"), F.col("_map").alias("_m"))
     while True:
         listed = F.array_sort(F.collect_list(F.struct("_i", "_m")))
@@ -142,9 +150,9 @@ def states(df: DataFrame, keys: list[str], order: list[str], step: Column, size:
             lambda held, x: F.struct(F.get(x["_m"], held["s"]).alias("s"), F.array_append(held["out"], F.struct(x["_i"].alias("i"), held["s"].alias("s"))).alias("out")),
         )["out"]
         inner = entered.select(*keys, F.explode(walk).alias("_x")).select(*keys, F.col("_x.i").alias("_g"), F.col("_x.s").alias("_s"))
-        entered = stored(inner, "entered") if depth == 0 else inner.join(levels[depth - 1].select(*keys, "_g", "_all"), [*keys, "_g"])
+        entered = stored(inner, "entered") if depth == 0 else _merged(inner, levels[depth - 1].select(*keys, "_g", "_all"), [*keys, "_g"], parts)
     entered = entered.select(*keys, (F.col("_g") + 1).alias("_i"), "_s")
-    return rows.join(entered, [*keys, "_i"]).withColumn(name, F.get("_map", F.col("_s"))).drop("_i", "_map", "_s")
+    return _merged(rows, entered, [*keys, "_i"], parts).withColumn(name, F.get("_map", F.col("_s"))).drop("_i", "_map", "_s")
 
 
 def shedding(df: DataFrame, keys: list[str], order: list[str], free: str, low: tuple[int, ...], resume: tuple[int, ...], block: Column | None = None) -> DataFrame:
