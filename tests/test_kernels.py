@@ -42,6 +42,16 @@ def test_page_hinkley_windows_equal_the_recursion(spark, noise):
         assert row.trip_up == (up.value() > 6.0)
 
 
+def test_rows_that_tie_in_order_are_one_step_of_the_drift_sums(spark):
+    rows = spark.createDataFrame([(1, 0, 3.0), (1, 1, 4.0), (1, 1, -2.0), (1, 2, 1.0)], "k long, i long, x double")
+    got = windows.cusum(rows, ["k"], ["i"], "x", 0.0, 0.5, 4.0).orderBy("i").collect()
+    assert [(r.cusum_up, r.cusum_down, r.trip) for r in got] == [(2.5, 0.0, None), (3.5, 0.0, None), (3.5, 0.0, None), (4.0, 0.0, None)]
+    got = windows.page_hinkley(rows, ["k"], ["i"], "x", 0.5, 2.5).orderBy("i").collect()
+    want = {0: (0.0, 0.0), 1: (0.0, 1 / 3), 2: (0.0, 1 / 3)}  # means 3, 5/3 and 1.5; sums down 1/2, 1/6 and 1/6
+    for r in got:
+        assert (r.ph_up, r.ph_down) == pytest.approx(want[r.i])
+
+
 def test_rolling_z_equals_the_fold(spark, noise):
     got = column(windows.rolling_z(series(spark, noise), ["k"], ["i"], "x", 32, 0.01), "z")
     fold = scans.Robust(32, 0.01)

@@ -40,12 +40,12 @@ def rolling_z(df: DataFrame, keys: list[str], order: list[str], value: str, size
     return out.withColumn("z", (F.col(value) - F.col("median")) / scale).drop("_seen")
 
 
-def cusum(df: DataFrame, keys: list[str], order: list[str], value: str, target: float, slack: float, limit: float) -> DataFrame:
+def cusum(df: DataFrame, keys: list[str], order: list[str | Column], value: str, target: float, slack: float, limit: float) -> DataFrame:
     """Adds cusum_up, cusum_down and trip ("up" before "down", null if neither): sums of deviations beyond the slack, floored at 0.
 
-    S = max(0, S + d) is the running sum of d less its lowest value so far (or 0).
+    S = max(0, S + d) is the running sum of d less its lowest value so far (or 0). Rows that tie in order are one step: each has the sums after all of them.
     """
-    w = _w(keys, order).rowsBetween(_START, 0)
+    w = _w(keys, order).rangeBetween(_START, 0)
     d = F.col(value) - target
     out = df.withColumn("_up", F.sum(d - slack).over(w)).withColumn("_down", F.sum(-d - slack).over(w))
     for side in ("up", "down"):
@@ -54,9 +54,12 @@ def cusum(df: DataFrame, keys: list[str], order: list[str], value: str, target:
     return out.withColumn("trip", trip).drop("_up", "_down")
 
 
-def page_hinkley(df: DataFrame, keys: list[str], order: list[str], value: str, delta: float, limit: float) -> DataFrame:
-    """Adds ph_up, ph_down and whether either is over the limit (trip_up, trip_down): drift from the running mean by more than delta."""
-    w = _w(keys, order).rowsBetween(_START, 0)
+def page_hinkley(df: DataFrame, keys: list[str], order: list[str | Column], value: str, delta: float, limit: float) -> DataFrame:
+    """Adds ph_up, ph_down and whether either is over the limit (trip_up, trip_down): drift from the running mean by more than delta.
+
+    Rows that tie in order are one step, as in ``cusum``.
+    """
+    w = _w(keys, order).rangeBetween(_START, 0)
     out = df.withColumn("_mean", F.avg(value).over(w))
     out = out.withColumn("_up", F.sum(F.col(value) - F.col("_mean") - delta).over(w)).withColumn("_down", F.sum(F.col(value) - F.col("_mean") + delta).over(w))
     out = out.withColumn("ph_up", F.col("_up") - F.least(F.lit(0.0), F.min("_up").over(w)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -40,6 +40,10 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def _nulls_last(names: list[str]) -> list[Column]:
+    return [F.col(n).asc_nulls_last() for n in names]
+
+
 # --- Continuity, age, staleness -------------------------------------------------------------------------------------
 
 
@@ -222,7 +226,7 @@ _CUSUM = """, d AS (SELECT vehicle, seq, t, (value - 50) / 50 AS x FROM sig), c
 @query(f"{_CUSUM} SELECT vehicle, seq, round(up, 6) AS cusum_up, round(down, 6) AS cusum_down, CASE WHEN up > 4 THEN 'up' WHEN down > 4 THEN 'down' END AS trip FROM s")
 def cusum(spark, sf_dir):
     df = signals(spark, sf_dir).withColumn("x", (F.col("value") - 50) / 50)
-    return _rounded(W.cusum(df, V, T, "x", 0.0, 0.5, 4.0), "cusum_up", "cusum_down").select("vehicle", "seq", "cusum_up", "cusum_down", "trip")
+    return _rounded(W.cusum(df, V, _nulls_last(T), "x", 0.0, 0.5, 4.0), "cusum_up", "cusum_down").select("vehicle", "seq", "cusum_up", "cusum_down", "trip")
 
 
 @query("""SELECT vehicle, seq, round(u - least(0, min(u) OVER w) + 1e-8, 6) AS ph_up, round(greatest(0, max(n) OVER w) - n + 1e-8, 6) AS ph_down FROM (
@@ -230,7 +234,7 @@ def cusum(spark, sf_dir):
   WINDOW w AS (PARTITION BY vehicle ORDER BY t, seq)) WINDOW w AS (PARTITION BY vehicle ORDER BY t, seq)""")
 def page_hinkley(spark, sf_dir):
     # Averages of a few cents end in a 5 often; the nudge keeps both engines off the tie.
-    df = W.page_hinkley(signals(spark, sf_dir), V, T, "value", 5.0, 60.0)
+    df = W.page_hinkley(signals(spark, sf_dir), V, _nulls_last(T), "value", 5.0, 60.0)
     return _rounded(df.withColumns({n: F.col(n) + 1e-8 for n in ("ph_up", "ph_down")}), "ph_up", "ph_down").select("vehicle", "seq", "ph_up", "ph_down")
 
 
