@@ -109,6 +109,21 @@ def test_time_sync_refuses_slow_exchanges():
     assert fold.step(0, 0, 5000)[0] is False and fold.step(0, 100, 0)[4] == 2
 
 
+@pytest.mark.parametrize("spread", [3, 1000, 10**8])
+def test_time_sync_keeps_its_windows_sorted(spread):
+    rnd, fold, accepted, outcomes = random.Random(spread), scans.TimeSync(), [], []
+    rank = lambda v, percent: sorted(v)[min(len(v) * percent // 100, len(v) - 1)]
+    for i in range(600):
+        sent, trip, late = 1000 * i, rnd.randrange(-spread // 10 - 1, spread), rnd.randrange(9)
+        trips = [r for _, r in accepted]
+        bad = trip < 0 or (len(trips) >= 8 and trip > rank(trips, 90) * 3 // 2)
+        accepted, outcomes = accepted if bad else [*accepted, (late - trip // 2, trip)][-32:], [*outcomes, bad][-32:]
+        ok, offset, rtt, _, _ = fold.step(sent + late, sent, sent + trip)
+        assert (ok, offset, rtt) == ((not bad, rank([o for o, _ in accepted], 50), rank([r for _, r in accepted], 50)) if accepted else (False, None, None))
+        assert list(zip(fold.offsets, fold.trips)) == list(zip(sorted(o for o, _ in accepted), sorted(r for _, r in accepted)))
+        assert fold.failed == sum(outcomes) and list(fold.accepted) == accepted and list(fold.outcomes) == outcomes
+
+
 def test_hysteresis_rises_at_once_and_falls_after_a_time():
     fold = scans.Hysteresis(10, S.HOLD_RANK)
     assert [fold.step(s, t)[0] for s, t in [("critical", 0), ("ok", 1), ("warn", 5), ("ok", 8), ("ok", 17), ("ok", 18)]] == ["critical"] * 5 + ["ok"]

@@ -88,3 +88,33 @@ def test_waiting_rows_are_a_few_values_of_state():
     fold = ordered.Clock()
     assert [tuple(r) for r in found] == [(7, *x) for r in sorted(rows) for x in fold.step(*r)]
     assert handle.states["buffer"] == [] and len(handle.states["kept"]) == 1 and handle.timers == [1, n]
+
+
+def test_results_leave_as_columns():
+    class Nothing:
+        get, put, clear = (lambda self: iter(())), (lambda self, values: None), lambda self: None
+
+    class Handle:
+        getListState, registerTimer = (lambda self, name, schema: Nothing()), lambda self, ms: None
+
+    at = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 10**6})()
+    made = ordered._Ordered([0, 1, 2, 3, 4], [0, 1, 2, 3, 4], ordered.Clock, ["vehicle", "seq", "accepted", "offset_ns", "rtt_ns", "quality", "rejected"], wide=100)
+    made.init(Handle())
+    rows = [(1000 * i, i, 5 * i, 1000 * i, 1000 * i + 9) for i in range(250)]
+    found = list(made.handleInputRows((None,), [(None, None, list(r)) for r in reversed(rows)], at))
+    fold = ordered.Clock()
+    assert [(r[0], len(r.seq)) for r in found] == [(None, 100), (None, 100), (None, 50)]
+    assert [x for r in found for x in zip(*r[1:])] == [x for r in rows for x in fold.step(*r)]
+
+
+def test_the_clock_filter_of_no_vehicle_and_of_rows_that_come_twice(spark, tmp_path):
+    rows = [(None if v == 2 else v, *r) for v, *r in made(200) for _ in range(2)]
+    exchanges = lambda df: df.withColumns({"sent": F.col("t") * 1000, "received": F.col("t") * 1000 + F.col("seq") * 7919 % 1000, "remote": F.col("t") * 1000 + F.col("seq")})
+    with ordered.state_store(spark):
+        stream = ordered.live_time_sync(exchanges(source(spark, tmp_path, rows, 90)), ["vehicle"], "remote", "sent", "received", late="1 second")
+        found = live.drained(stream)
+    passed = (max(r[2] for r in rows) // 1000 - 1000) * 1000
+    df = exchanges(spark.createDataFrame([r for r in rows if r[2] <= passed], SCHEMA))
+    batch = scans.time_sync(df, ["vehicle"], ["t", "seq"], "remote", "sent", "received").select(*found.columns)
+    assert found.schema.simpleString() == "struct<vehicle:bigint,seq:bigint,accepted:boolean,offset_ns:bigint,rtt_ns:bigint,quality:string,rejected:bigint>"
+    assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect())) and found.filter("vehicle IS NULL").count() > 50
