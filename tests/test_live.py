@@ -118,3 +118,26 @@ def test_the_clock_filter_of_no_vehicle_and_of_rows_that_come_twice(spark, tmp_p
     batch = scans.time_sync(df, ["vehicle"], ["t", "seq"], "remote", "sent", "received").select(*found.columns)
     assert found.schema.simpleString() == "struct<vehicle:bigint,seq:bigint,accepted:boolean,offset_ns:bigint,rtt_ns:bigint,quality:string,rejected:bigint>"
     assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect())) and found.filter("vehicle IS NULL").count() > 50
+
+
+def test_the_running_ewma_takes_only_what_it_needs(spark, tmp_path):
+    rnd, folds, want, rows = random.Random(3), {}, [], []
+    for seq in range(300):
+        v, x = rnd.choice([1, 1, 2, None]), rnd.choice([None, float("nan"), *([rnd.gauss(5, 2)] * 8)])
+        for _ in range(1 + (seq % 50 == 0)):  # some rows come twice
+            fold = folds.setdefault(v, scans.Ewma(0.05))
+            fold.update(x)
+            want.append((v, seq, fold.mean))
+            rows.append((v, seq, seq * 1000, None, x, 0.0))
+    for i in range(0, len(rows), 120):
+        batch = rows[i : i + 120]
+        rnd.shuffle(batch)
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{i:06d}")
+    df = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    told = live.running_ewma(df.withColumn("held", F.expr("make_interval(0, 0, 0, 1)")), ["vehicle"], "seq", "x", 0.05)  # Python has no such type
+    shown = told._jdf.queryExecution().analyzed().toString().splitlines()
+    below = next(line for i, line in enumerate(shown) if "FlatMapGroupsInPandasWithState" in shown[i - 1])
+    assert "Project" in below and not any(f"{c}#" in below for c in ("t", "boot", "y", "held"))
+    found = [tuple(r) for r in live.drained(told).collect()]
+    plain = lambda rows: sorted(((str(v), s, "none" if x is None or x != x else x) for v, s, x in rows), key=str)
+    assert plain(found) == plain(want) and any(v is None for v, _, _ in found)
