@@ -78,3 +78,39 @@ def test_one_long_key_is_many_tasks_and_no_python(spark, rows):
     assert "Arrow" not in plan and "Python" not in plan
     blocks = prefix.numbered(rows.filter("k = 1"), K, O, F.floor(F.col("t") / 100), F.lit(True), "n")
     assert blocks.select("_block").distinct().count() > 40 and blocks.agg(F.max("n")).first()[0] == rows.filter("k = 1").count()
+
+
+def test_rows_are_numbered_without_a_join(spark, rows):
+    times = F.when(F.col("i") % 50 != 0, F.col("t"))  # a row without a time has no block
+    df = rows.withColumn("t", times)
+    df = df.unionAll(df.filter("i < 300"))  # rows that come twice
+    found = prefix.numbered(df, K, O, F.floor(F.col("t") / 100), F.col("x").isNotNull(), "n")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want, counts = [], {}
+    for r in sorted(df.collect(), key=lambda r: (r.t is not None, r.t or 0, r.i)):
+        counts[r.k] = counts.get(r.k, 0) + (r.x is not None)
+        want.append((r.k, r.i, counts[r.k]))
+    assert None in counts and counts[3] == 0
+    assert sorted(((r.k, r.i, r.n) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_the_ladder_joins_nodes_and_not_rows(spark, rows, monkeypatch):
+    kept, stored = {}, prefix.stored
+
+    def keep(df, name):
+        kept.setdefault(name, []).append(found := stored(df, name))
+        return found
+
+    monkeypatch.setattr(prefix, "stored", keep)
+    df = rows.select(*K, *O, F.when(F.col("i") % 11 != 0, F.col("free")).alias("free"))
+    df = df.unionAll(df.filter("i < 300"))
+    low, resume, stages, want, counts = (400, 200, 50), (600, 300, 100), {}, [], {}
+    for r in sorted(df.filter("k IS NOT NULL").collect(), key=lambda r: (r.t, r.i)):  # rows without a key are left out
+        s, counts[r.k] = stages.get(r.k, 0), counts.get(r.k, 0) + 1
+        worst = max((n + 1 for n, mark in enumerate(low) if r.free is not None and r.free < mark), default=0)
+        stages[r.k] = worst if worst > s else s - 1 if s and r.free is not None and r.free >= resume[s - 1] else s
+        want.append((r.k, r.i, stages[r.k]))
+    found = prefix.shedding(df, K, O, "free", low, resume, F.floor(F.col("t") / 700))
+    assert sorted((r.k, r.i, r.stage) for r in found.collect()) == sorted(want)
+    assert kept["rows"][0].columns == [*df.columns, "_i"] and "_all" not in kept["maps"][0].columns
+    assert kept["entered"][0].filter("k IS NOT NULL").count() == sum(-(-n // prefix.WIDE) for n in counts.values())

shed_ladder_tree: rows are shuffled for their order, for their maps and for their node, once each

Symptom: shed_ladder_tree writes and reads 14.4 MB of shuffle for 2 MB of events; numbering and the joins of the tree move each row five times.
Evidence: the plan has a null-safe join of each block's offset, whose keys don't fit the window before it, so all rows are shuffled again (or the offsets are broadcast); maps are shuffled as arrays going up and again coming down, and a state a row is joined by row number; columns that the ladder doesn't read go along.
Fix: a block's offset is unioned in as its first row and summed by the window that orders the block; maps are made from their columns after the shuffle; a node's state is joined once and its rows go on from it in a window of 64 rows; the query selects the columns that the ladder reads.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 412 -> 323 s, shuffle 0.90 -> 0.39 GB, spill 0.00 -> 0.00 GB, read 0.24 -> 0.23 GB, longest task 5 -> 7 s, most memory of a task 126 -> 118 MB; at 6 GB of input CPU 1056 -> 795 s, shuffle 5.52 -> 2.43 GB, spill 0.00 -> 0.00 GB, read 1.59 -> 1.54 GB, longest task 10 -> 12 s, most memory of a task 252 -> 369 MB; with hot keys, at 1 GB of input CPU 448 -> 323 s, shuffle 0.87 -> 0.37 GB, spill 0.00 -> 0.00 GB, read 0.27 -> 0.25 GB, longest task 6 -> 5 s, most memory of a task 126 -> 118 MB.

@@ -25,18 +25,16 @@ ROWS = 1 << 19
 def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column | None, counts: Column, name: str) -> DataFrame:
     """Adds ``_block`` and ``name``: how many rows of the key up to and with this one ``counts`` holds for.
 
-    Only one row a block is gathered for each key.
+    Only one row a block is gathered for each key. How many rows come before a block is one more row of it, before its others, so that rows meet it in the shuffle that
+    orders them and a null in a key is a key like any other.
     """
-    df = df.withColumn("_block", F.lit(0) if block is None else block)
-    one = F.when(counts, 1).otherwise(0)
-    sizes = df.groupBy(*keys, "_block").agg(F.sum(one).alias("_size"))
+    df = df.withColumn("_block", F.lit(0) if block is None else block).withColumn(name, F.when(counts, 1).otherwise(0))
+    sizes = df.groupBy(*keys, "_block").agg(F.sum(name).alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_b"), F.coalesce(before, F.lit(0)).alias("_offset"))
-    on = F.col("_block").eqNullSafe(F.col("_b"))
-    for i, k in enumerate(keys):
-        on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(one).over(within)).join(offsets, on).withColumn(name, F.col(name) + F.col("_offset")).drop("_offset", "_b", *(f"_k{i}" for i in range(len(keys))))
+    offsets = sizes.select(*keys, "_block", before.alias(name)).filter(F.col(name) > 0)
+    both = df.withColumn("_row", F.lit(True)).unionByName(offsets.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    within = Window.partitionBy(*keys, "_block").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.sum(name).over(within)).filter("_row").drop("_row")
 
 
 def decayed(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], keep: float, counts: Column, block: Column | None = None, number: str = "_n") -> DataFrame:
@@ -121,38 +119,43 @@ def least_squares(df: DataFrame, keys: list[str], order: list[str], u: str, y: s
 
 
 def _merged(a: DataFrame, b: DataFrame, on: list[str], parts: int) -> DataFrame:
-    """a and b joined by sorting, in so many tasks. The files of stored numbers are small enough to be broadcast where their rows aren't."""
-    return a.repartition(parts, *on).join(b.repartition(parts, *on).hint("merge"), on)
+    """a, which is in so many parts by ``on`` already, and b joined by sorting. The files of stored numbers are small enough to be broadcast where their rows aren't."""
+    return a.join(b.repartition(parts, *on).hint("merge"), on)
 
 
 def states(df: DataFrame, keys: list[str], order: list[str], step: Column, size: int, name: str, start: int = 0, block: Column | None = None) -> DataFrame:
     """Adds the state after each row of an automaton of ``size`` states: ``step`` is the row's map, an array with the next state of each.
 
     Maps of WIDE neighbours are composed to one, level by level, until each key has one; then each node hands its members the states they are entered
-    with. No task holds more than WIDE rows of a key at once, and a task of a join sorts ROWS rows or so.
+    with. Rows meet only the state that their node is entered with, and go on from there by the maps of the node's rows so far; maps are made of a row's columns
+    where they are needed. No task holds more than WIDE rows of a key at once, and a task of a join sorts ROWS rows or so.
     """
-    rows = stored(numbered(df, keys, order, block, F.lit(True), "_i").drop("_block").withColumn("_map", step), "maps")
+    node, on = F.floor(F.col("_i") / WIDE).cast("long").alias("_g"), [*keys, "_g"]
+    rows = stored(numbered(df, keys, order, block, F.lit(True), "_i").drop("_block").withColumn("_i", F.col("_i") - 1), "rows")
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
-    levels, members = [], rows.select(*keys, (F.col("_i") - 1).alias("_i"), F.col("_map").alias("_m"))
+    rows = rows.select("*", node).repartition(parts, *on)
+    levels, members = [], rows.select(*on, "_i", step.alias("_m"))
     while True:
         listed = F.array_sort(F.collect_list(F.struct("_i", "_m")))
-        groups = members.groupBy(*keys, F.floor(F.col("_i") / WIDE).cast("long").alias("_g")).agg(listed.alias("_all"))
         composed = F.aggregate("_all", F.array(*(F.lit(s) for s in range(size))), lambda held, x: F.transform(held, lambda s: F.get(x["_m"], s)))
-        groups = stored(groups.withColumn("_whole", composed), "maps")
+        groups = members.groupBy(*on).agg(listed.alias("_all")).withColumn("_whole", composed)
+        groups = stored(groups if levels else groups.drop("_all"), "maps")
         levels.append(groups)
         if (groups.agg(F.max("_g")).first()[0] or 0) == 0:
             break
-        members = groups.select(*keys, F.col("_g").alias("_i"), F.col("_whole").alias("_m"))
-    entered = levels[-1].select(*keys, "_g", F.lit(start).alias("_s"), "_all")
-    for depth in reversed(range(len(levels))):
+        members = groups.select(*keys, F.col("_g").alias("_i"), F.col("_whole").alias("_m")).select("*", node)
+    entered = levels[-1].withColumn("_s", F.lit(start)).drop("_whole")
+    for depth in reversed(range(1, len(levels))):
         walk = F.aggregate(
             "_all", F.struct(F.col("_s").alias("s"), F.array().cast("array<struct<i: bigint, s: int>>").alias("out")),
             lambda held, x: F.struct(F.get(x["_m"], held["s"]).alias("s"), F.array_append(held["out"], F.struct(x["_i"].alias("i"), held["s"].alias("s"))).alias("out")),
         )["out"]
         inner = entered.select(*keys, F.explode(walk).alias("_x")).select(*keys, F.col("_x.i").alias("_g"), F.col("_x.s").alias("_s"))
-        entered = stored(inner, "entered") if depth == 0 else _merged(inner, levels[depth - 1].select(*keys, "_g", "_all"), [*keys, "_g"], parts)
-    entered = entered.select(*keys, (F.col("_g") + 1).alias("_i"), "_s")
-    return _merged(rows, entered, [*keys, "_i"], parts).withColumn(name, F.get("_map", F.col("_s"))).drop("_i", "_map", "_s")
+        entered = stored(inner, "entered") if depth == 1 else _merged(inner.repartition(parts, *on), levels[depth - 1].drop("_whole"), on, parts)
+    so_far = Window.partitionBy(*on).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_maps", F.collect_list(F.struct(step.alias("m"))).over(so_far))
+    after = F.aggregate("_maps", F.col("_s"), lambda s, x: F.get(x["m"], s))
+    return _merged(rows, entered, on, parts).withColumn(name, after).drop("_i", "_g", "_maps", "_s")
 
 
 def shedding(df: DataFrame, keys: list[str], order: list[str], free: str, low: tuple[int, ...], resume: tuple[int, ...], block: Column | None = None) -> DataFrame:

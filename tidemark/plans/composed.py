@@ -31,7 +31,7 @@ def ewma_prefix(spark, sf_dir):
 @query(_sql("shed_ladder"))
 def shed_ladder_tree(spark, sf_dir):
     df = signals(spark, sf_dir).withColumn("free", (F.col("value") * 10).cast("long"))
-    return P.shedding(df, V, T, "free", (400, 200, 50), (600, 300, 100), _day()).select("vehicle", "seq", "stage")
+    return P.shedding(df.select(*V, *T, "free"), V, T, "free", (400, 200, 50), (600, 300, 100), _day()).select("vehicle", "seq", "stage")
 
 
 def _fitted(spark, sf_dir):
